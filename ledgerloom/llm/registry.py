@@ -7,6 +7,7 @@ import importlib
 #: Query: its module here.
 QUERIES = {
     "op1_media_columns": "media",
+    "op2_simhash_near_dedup": "simhash",
     "op3_best_fit_packing": "packing",
     "op5_token_files": "rans",
     "op6_mix_sources": "mixing",
