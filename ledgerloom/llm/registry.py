@@ -11,6 +11,7 @@ QUERIES = {
     "op3_best_fit_packing": "packing",
     "op5_token_files": "rans",
     "op6_mix_sources": "mixing",
+    "op7_language_id": "langid",
 }
 ORACLES = {"op6_mix_sources": "mixing"}
 
