@@ -12,6 +12,7 @@ QUERIES = {
     "op5_token_files": "rans",
     "op6_mix_sources": "mixing",
     "op7_language_id": "langid",
+    "op8_lm_scoring": "lm",
     "op9_nearest_neighbours": "ann",
     "op10_html_extraction": "html",
 }
