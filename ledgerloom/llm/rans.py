@@ -202,8 +202,8 @@ def write_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     shared = frequencies(tokens)
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row for each task
-    placed = tokens.join(bases, "part", "left").select("part", "row", (F.col("start") + F.col("_base")).alias("start"), "doc_id", "n_tokens", "ids")
+    bases = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row for each task of tokenize()
+    placed = tokens.join(F.broadcast(bases), "part", "left").select("part", "row", (F.col("start") + F.col("_base")).alias("start"), "doc_id", "n_tokens", "ids")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -9,6 +9,7 @@ QUERIES = {
     "op1_media_columns": "media",
     "op2_simhash_near_dedup": "simhash",
     "op3_best_fit_packing": "packing",
+    "op4_substring_dedup": "substrings",
     "op5_token_files": "rans",
     "op6_mix_sources": "mixing",
     "op7_language_id": "langid",
