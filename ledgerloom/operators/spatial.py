@@ -64,7 +64,7 @@ def zones_at(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataF
     Boxes are joined by cell, then each candidate is tested exactly by ray casting. Rows of several zones are all
     given; points in none have none. Polygons don't cross the date line.
     """
-    box = polygons.select("zone", "ring", *(f(F.transform("ring", lambda c, k=k: c[k])).alias(n) for k in ("lat", "lon") for f, n in ((F.array_min, f"{k}0"), (F.array_max, f"{k}1"))))
+    box = polygons.select("zone", "ring", *(f(F.col(f"ring.{k}")).alias(n) for k in ("lat", "lon") for f, n in ((F.array_min, f"{k}0"), (F.array_max, f"{k}1"))))
     floor = lambda c: F.floor(F.col(c) / cell)
     cells = box.withColumn("_y", F.explode(F.sequence(floor("lat0"), floor("lat1")))).withColumn("_x", F.explode(F.sequence(floor("lon0"), floor("lon1"))))
     p = points.filter("lat is not null and lon is not null").withColumns({"_y": floor("lat"), "_x": floor("lon")})
