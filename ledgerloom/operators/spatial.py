@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a reference table that may be broadcast; larger ones are joined by cell.
-BROADCAST_BYTES = 64 << 20
-
 
 def rules_in_force(df: DataFrame, rules: DataFrame, time: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
     """Each row with the rules whose half-open scope [start, end) holds its time; open ends are null.
