@@ -11,7 +11,6 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
