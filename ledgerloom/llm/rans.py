@@ -151,7 +151,7 @@ def decode_block(data: bytes, shared: Table, first: int = 0, last: int | None =
 
 
 TOKENS = "part int, row long, start long, doc_id long, n_tokens long, ids binary"
-BLOCKS = "part int, row long, start long, n_docs int, n_ids long, ids_crc32 long, doc_ids binary, lengths binary, block binary"
+BLOCKS = "part int, row long, start long, n_docs int, n_ids long, ids_crc32 long, doc_ids array<long>, lengths binary, block binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
@@ -212,8 +212,8 @@ def write_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
         def close() -> pa.RecordBatch:
             ids = b"".join(r[5] for r in held)
             block = encode_block(np.frombuffer(ids, "<u2"), shared)
-            row = (held[0][0], held[0][1], held[0][2], len(held), len(ids) // 2, zlib.crc32(ids), np.array([-1 if r[3] is None else r[3] for r in held], "<i8").tobytes(), np.array([r[4] for r in held], "<u4").tobytes(), block)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            row = (held[0][0], held[0][1], held[0][2], len(held), len(ids) // 2, zlib.crc32(ids), [r[3] for r in held], np.array([r[4] for r in held], "<u4").tobytes(), block)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
             return pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in slices(batches, "ids"):
@@ -248,9 +248,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 n = np.frombuffer(lengths, "<u4").astype(np.int64)
                 data, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(n)
                 parts = [data[b - 4 * k : b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                doc_ids = np.frombuffer(docs, "<i8")
                 yield pa.record_batch(
-                    [pa.array(doc_ids, mask=doc_ids == -1), pa.array(start + ends // 4 - n), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())],
+                    [pa.array(docs, pa.int64()), pa.array(start + ends // 4 - n), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 

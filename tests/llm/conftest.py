@@ -17,5 +17,5 @@ def docs(spark):
 #: Null, empty, white space, repeated rows and ids, ties, odd characters, a very long text, null columns.
 ODD = [
     (1, None), (2, ""), (3, " \t\n"), (4, "one two three four five six"), (4, "one two three four five six"), (5, "one two three four five six"), (None, "a null id"),
-    (6, "Ünïcode ß İ 日本語 x́ ½ \x1c sep\xa0nbsp 'll don't 12,5% <|endoftext|>"), (7, "long words here " * 20_000), (8, "tie", None, None), (9, "tie", "de", None), (10, "x"),
+    (-1, "below zero"), (6, "Ünïcode ß İ 日本語 x́ ½ \x1c sep\xa0nbsp 'll don't 12,5% <|endoftext|>"), (7, "long words here " * 20_000), (8, "tie", None, None), (9, "tie", "de", None), (10, "x"),
 ]
