@@ -10,8 +10,8 @@ arrays, to buckets by centre; a centre that a chunk has in several documents is
 Shared windows of neighbouring orders are then joined where one stretch has both centres, and documents that share
 such a pair of centres are candidates. Each is compared with its group's least document, not with all; a passage has
 several such groups, for each order and stretch, so one whose least document happens not to agree leaves the others.
-Candidates are verified on the passages themselves: the longest runs that agree, with a similarity (of the sets of
-five words) of SIMILAR or more.
+Candidates are verified on the passages themselves: all stretches that begin and end with runs that agree, and have a
+similarity (of the sets of five words) of SIMILAR or more, the largest first.
 
 Defined results: null or short texts and null ids take no part; rows with one id are one document; repeats within a
 document aren't reported; whole copies are passages like others; words are runs of characters other than ASCII white
@@ -303,40 +303,116 @@ def _spans(column: pa.ListArray) -> list[np.ndarray]:
     return [merged(both[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _best_run(same: np.ndarray, cost: float) -> tuple[int, int]:
-    """The stretch with the largest sum where agreement counts 1 and its lack -cost; end excluded."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
-    low = np.minimum.accumulate(total)
-    b = int(np.argmax(total - low))
-    return int(np.flatnonzero(total[: b + 1] == low[b])[-1]), b
+def _places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A place in y for each shingle of x, -1 for none. Of several, the one that goes on from a neighbour's, or else the
+    first of those that agree furthest, up to LEAST."""
+    order = np.argsort(y, kind="stable")
+    low, high = np.searchsorted(y[order], x), np.searchsorted(y[order], x, "right")
+    place = np.where(high > low, order[np.minimum(low, len(y) - 1)], -1)
+    several = np.flatnonzero(high > low + 1)
+    if not len(several):
+        return place
+    place[several] = -2
+    spots, near, n, m = several.tolist(), place.tolist(), len(x), len(y)
+    for k in reversed(spots):
+        if k + 1 < n and near[k + 1] > 0 and y[near[k + 1] - 1] == x[k]:
+            near[k] = near[k + 1] - 1
+    for k in spots:
+        if near[k] == -2:
+            last = near[k - 1] if k else -1
+            if 0 <= last < m - 1 and y[last + 1] == x[k]:
+                near[k] = last + 1
+                continue
+            found = order[low[k] : high[k]]
+            for step in range(1, min(LEAST, n - k)):
+                on = found[found + step < m]
+                on = on[y[on + step] == x[k + step]]
+                if not len(on):
+                    break
+                found = on
+            near[k] = int(found[0])
+    return np.array(near, np.int64)
 
 
-#: What a difference costs in a run: long runs with some are tried first, at last those without any.
-COSTS = (3.0, 10.0, 1e9)
+def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
+    """(from, to, from, to, similarity) of passages of x and y, ends excluded, that agree: the largest first, then those
+    beside it. Passages begin and end with runs that both have; one shorter than `least` is filled up to it.
 
+    All stretches of runs are tried whose part of agreeing shingles allows the similarity. A run is left out of those
+    whose place in y is far from the first run's; far is a quarter of the stretch, or all of it for what was moved.
+    """
+    if min(len(x), len(y)) < least:
+        return []
+    place = _places(x, y)
+    hit = np.flatnonzero(place >= 0)
+    if len(hit) < similar * least:
+        return []
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(place[hit]) != 1)]))
+    begin, size = hit[new], np.diff(np.append(new, len(hit)))
+    total = np.concatenate([[0], np.cumsum(size)])
+    cost = similar / (1 - similar)
+    gain = (1 + cost) * total[1:] - cost * (begin + size)
+    reach, level = np.maximum.accumulate(gain[::-1])[::-1].tolist(), ((1 + cost) * total[:-1] - cost * begin - 1e-6).tolist()
+    #: Distinct shingles before each place.
+    kinds = []
+    for v in (x, y):
+        first = np.zeros(len(v) + 1, np.int64)
+        first[np.unique(v, return_index=True)[1] + 1] = 1
+        kinds.append(np.cumsum(first).tolist())
+    of_x, of_y = kinds
+    starts, ends, lows, highs = begin.tolist(), (begin + size).tolist(), place[begin].tolist(), (place[begin] + size).tolist()
+    sizes, before = size.tolist(), total.tolist()
+
+    def filled(a: int, b: int, n: int) -> tuple[int, int]:
+        a = max(0, min(a, n - least))
+        return a, max(b, a + least)
+
+    def tried(f: int, g: int, every: bool) -> list[tuple[int, int, int, int, int]]:
+        """(agreeing, first run, last run, from, to) of stretches of runs that may be similar; only growing ones, or all."""
+        out, best = [], 0
+        for u in range(f, g):
+            if before[g] - before[u] <= (0 if every else best) or before[g] - before[u] < similar * least:
+                break
+            for far in (0.25, 1.0):
+                both, low, high = 0, lows[u], highs[u]
+                for v in range(u, g):
+                    if reach[v] < level[u]:
+                        break
+                    if abs(lows[v] - starts[v] - lows[u] + starts[u]) > max(12, far * (ends[v] - starts[u])):
+                        continue
+                    both += sizes[v]
+                    low, high = min(low, lows[v]), max(high, highs[v])
+                    if both <= best and not every:
+                        continue
+                    left, right = (max(both, k) for k in (of_x[ends[v]] - of_x[starts[u]], of_y[high] - of_y[low]))
+                    left, right = left + max(0, least - ends[v] + starts[u]), right + max(0, least - high + low)
+                    if both >= similar * (left + right - both):
+                        best = max(best, both)
+                        out.append((both, u, v, low, high))
+                if u + 1 == g:
+                    break
+        return out
 
-def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float = SIMILAR) -> list[tuple[int, int, int, int, float]]:
-    """(from, to, from, to, similarity) of passages of x and y, ends excluded, that agree."""
-    out = []
-    todo = [(0, len(x))]
-    near = np.isin(x, y)
+    out, todo = [], [(0, len(starts))]
     while todo:
-        a, b = todo.pop()
-        if b - a < least or np.count_nonzero(near[a:b]) < similar * least:
+        f, g = todo.pop()
+        if before[g] - before[f] < similar * least:
             continue
-        for cost in COSTS:
-            i, j = (a + k for k in _best_run(near[a:b], cost))
-            if j - i < least:
-                continue
-            p, q = _best_run(np.isin(y, x[i:j]), cost)
-            left, right = np.unique(x[i:j]), np.unique(y[p:q])
-            both = len(np.intersect1d(left, right, True))
-            s = both / max(1, len(left) + len(right) - both)
-            if q - p >= least and s >= similar:
-                out.append((i, j, p, q, s))
-                break
-        if j - i >= least:
-            todo += [(a, i), (j, b)]
+        for every in (False, True):
+            found = sorted(tried(f, g, every), reverse=True)
+            for _, u, v, low, high in found:
+                (i, j), (p, q) = filled(starts[u], ends[v], len(x)), filled(low, high, len(y))
+                left, right = np.unique(x[i:j]), np.unique(y[p:q])
+                both = len(np.intersect1d(left, right, True))
+                s = both / (len(left) + len(right) - both)
+                if s >= similar:
+                    out.append((i, j, p, q, s))
+                    todo += [(f, u), (v + 1, g)]
+                    break
+            else:
+                if found:
+                    continue
+            break
     return sorted(out)
 
 

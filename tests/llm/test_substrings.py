@@ -89,3 +89,37 @@ def test_exact_repeats_of_a_whole_table(spark):
                 want.add(d)
     got = {r["doc_id"] for r in S.op4_substring_dedup(spark, sf).collect()}
     assert want <= got and len(want) > 5
+
+
+def test_an_edit_at_any_place_of_a_short_passage():
+    rng = np.random.default_rng(5)
+    of = lambda w: S.shingles(" ".join(map(str, w)))
+    for n in (50, 51, 55, 60, 65, 70):
+        for k in range(n):
+            p = rng.integers(0, 2**60, n)
+            q = p.copy()
+            q[k] = -1
+            x, y = (of([*rng.integers(0, 2**60, 90), *w, *rng.integers(0, 2**60, 90)]) for w in (p, q))
+            found = S.agreeing(x, y)
+            assert len(found) == 1, (n, k)
+            i, j, _, _, s = found[0]
+            assert s >= 0.8 and min(j - i, n - 4) >= S.LEAST and i <= 90 + (k + 1 if k < 5 else 5) and j >= 90 + n - 9, (n, k, found)
+
+
+def test_agreeing_finds_planted_runs_of_any_edits():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(46, 300))
+        p = rng.integers(0, 2**60, n).astype(np.uint64)
+        x, y, kept = list(p), list(p), n
+        for k in sorted(rng.choice(n - 2, n // 60, replace=False).tolist(), reverse=True):  # replaced, left out or put in
+            kind = rng.integers(3)
+            if kind != 1:
+                x[k : k + (kind != 2)] = rng.integers(0, 2**60, 3).astype(np.uint64).tolist()
+            else:
+                del x[k]
+        kept = len(set(x) & set(y))
+        if kept / (len(set(x)) + len(set(y)) - kept) < 0.8 or min(len(x), len(y)) < 46:
+            continue
+        wide = lambda w: np.array([*rng.integers(0, 2**60, 80), *w, *rng.integers(0, 2**60, 80)], np.uint64)
+        assert sum(j - i for i, j, *_ in S.agreeing(wide(x), wide(y))) >= 0.8 * len(x)
