@@ -123,3 +123,23 @@ def test_agreeing_finds_planted_runs_of_any_edits():
             continue
         wide = lambda w: np.array([*rng.integers(0, 2**60, 80), *w, *rng.integers(0, 2**60, 80)], np.uint64)
         assert sum(j - i for i, j, *_ in S.agreeing(wide(x), wide(y))) >= 0.8 * len(x)
+
+
+def test_a_passage_beside_a_stretch_that_is_less_similar():
+    rng = np.random.default_rng(7)
+    fresh = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    left = fresh(221)
+    other = left.copy()
+    other[20::31] = fresh(len(other[20::31]))
+    good = fresh(74)
+    near = good.copy()
+    near[37] = fresh(1)[0]
+    of = lambda w: S.shingles(" ".join(map(str, w)))
+    x, y = of([*left, *good]), of([*other, *near])
+    found = S.agreeing(x, y)
+    assert any(i <= 226 and j >= 289 and s >= 0.8 for i, j, *_, s in found), found
+    a, b = fresh(60), fresh(60)  # in one place here, in two there, in either order
+    whole = np.concatenate([a, b])
+    for parts in ((a, fresh(200), b), (b, fresh(200), a)):
+        found = S.agreeing(whole, np.concatenate(parts))
+        assert [(i, j) for i, j, *_ in found] == [(0, 60), (60, 120)], found
