@@ -8,8 +8,8 @@ sliding minima. Two passages whose similarity is s share the least element in a
 Windows whose centre occurs in one document only can't match. Chunks of documents send their windows, packed as
 arrays, to buckets by centre; a centre that a chunk has in several documents is known to be shared, and is sent once.
 Shared windows of neighbouring orders are then joined where one stretch has both centres, and documents that share
-such a pair of centres are candidates. Each is compared with its group's least document, not with all; a passage has
-several such groups, for each order and stretch, so one whose least document happens not to agree leaves the others.
+such a pair of centres are candidates. Each is compared with its group's least document first. Those that have no
+passage there after that are open, and are compared with all earlier ones of the group, until one has it.
 Candidates are verified on the passages themselves: all stretches that begin and end with runs that agree, and have a
 similarity (of the sets of five words) of SIMILAR or more, the largest first.
 
@@ -146,7 +146,7 @@ def one_for_each_key(key: np.ndarray, doc: np.ndarray, order: np.ndarray, spot:
 
 SENT = "bucket int, chunk long, direct boolean, keys binary, docs binary, orders binary, spots binary"
 SHARED = "chunk long, keys binary, docs binary, orders binary, spots binary"
-PAIRED = "key long, doc long, span long"
+PAIRED = "key long, doc long, span long, run long"
 
 
 def send_windows(docs: DataFrame, buckets: int, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -250,7 +250,8 @@ def span_of(a, b):
 
 
 def joined_windows(shared: DataFrame) -> DataFrame:
-    """(key of two centres, document, span): the common interval of windows of neighbouring orders.
+    """(key of two centres, document, span, run): the common interval of windows of neighbouring orders, and the run of
+    stretches (first, last) that have both centres.
 
     Two windows meet if one stretch of LEAST has both centres as its least elements, so there are only as many pairs
     as runs of stretches; a passage that agrees has stretches that do.
@@ -261,7 +262,7 @@ def joined_windows(shared: DataFrame) -> DataFrame:
         key, doc, order = map(np.concatenate, (keys, docs, orders))
         a, first, last, b = np.concatenate([s.reshape(4, -1) for s in spots], axis=1).astype(np.int64)
         number = np.unique(doc, return_inverse=True)[1] * (np.int64(1) << 33)
-        out = [(np.zeros(0, np.int64),) * 3]
+        out = [(np.zeros(0, np.int64),) * 4]
 
         def inside(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Pairs of a window of x and one of y whose run begins in that of the first."""
@@ -280,8 +281,8 @@ def joined_windows(shared: DataFrame) -> DataFrame:
             rest = first[j2] < first[i2]
             i, j = np.concatenate([i, i2[rest]]), np.concatenate([j, j2[rest]])
             both = mixed(key[i] ^ (key[j] << np.uint64(1) | key[j] >> np.uint64(63)), 77 + k)
-            out.append((both.view(np.int64), doc[i].astype(np.int64), span_of(np.maximum(a[i], a[j]), np.minimum(b[i], b[j]))))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "doc", "span"])
+            out.append((both.view(np.int64), doc[i].astype(np.int64), span_of(np.maximum(a[i], a[j]), np.minimum(b[i], b[j])), span_of(np.maximum(first[i], first[j]), np.minimum(last[i], last[j]))))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "doc", "span", "run"])
 
     return shared.groupBy("chunk").applyInArrow(run, PAIRED)
 
@@ -477,6 +478,96 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.join(parts, "doc").join(theirs, "other").mapInArrow(run, FOUND)
 
 
+MEMBERS = "bucket int, keys binary, docs binary, begins binary, runs binary, sizes binary, values binary"
+
+
+def open_members(docs: DataFrame, windows: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """Messages with the groups that have open members: those with no found passage around a stretch of their run. For
+    each member of them up to the last open one: key, document, begin of the interval, run (-1 if it isn't open), and
+    the interval's shingles."""
+    covered = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.expr(f"cast(start_word as long) << 32 | (end_word - {SHINGLE})")).alias("covered"))
+    is_open = f"not coalesce(exists(covered, c -> greatest(run >> 32, c >> 32) + {LEAST - 1} <= least((run & 4294967295) + {LEAST - 1}, c & 4294967295)), false)"
+    # A group of two windows has been compared.
+    several = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low")).filter("n > 2")
+    later = windows.join(several, "key").filter("doc > low").select("key", "doc", "run")
+    last = later.join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
+    members = windows.join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
+    members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))")).drop("covered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            rows: list[list] = [[] for _ in range(6)]
+            for doc, text, *lists in zip(*(batch.column(k).to_pylist() for k in ("doc", "text", "keys", "spans", "runs")), strict=True):
+                values = shingles(text).astype("<u4")
+                for key, span, stretches in zip(*lists, strict=True):
+                    low = span >> 32
+                    part = values[low : (span & 0xFFFFFFFF) + 1]
+                    if len(part) >= LEAST:  # rows with one id may have other texts
+                        for col, v in zip(rows, (key, doc, low, stretches, len(part), part), strict=True):
+                            col.append(v)
+            key = np.array(rows[0], np.int64)
+            of = key % buckets
+            cols: list[list] = [[] for _ in range(7)]
+            for b in np.unique(of).tolist():
+                pick = np.flatnonzero(of == b)
+                numbers = [packed(np.array(c, np.int64)[pick]) for c in rows[:5]]
+                for col, v in zip(cols, (b, *numbers, np.concatenate([rows[5][k] for k in pick.tolist()]).tobytes()), strict=True):
+                    col.append(v)
+            yield pa.record_batch([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], [x.split()[0] for x in MEMBERS.split(", ")])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
+    return texts.join(members, "doc").mapInArrow(run, MEMBERS)
+
+
+def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: list[np.ndarray]) -> list[tuple]:
+    """Passages of a group's open members: each is compared with all before it, those with most in common first, until
+    one has a stretch of its run. Members come sorted by document."""
+    size = np.array([len(p) for p in parts])
+    at = np.concatenate([[0], np.cumsum(size)])
+    kind = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    pair = np.unique(kind * len(parts) + np.repeat(np.arange(len(parts)), size))
+    member, cuts = pair % len(parts), np.searchsorted(pair // len(parts), np.arange(int(kind.max()) + 2))
+    out = []
+    for k in np.flatnonzero(stretches >= 0).tolist():
+        before = int(np.searchsorted(doc, doc[k]))
+        if not before:
+            continue
+        low, n = cuts[kind[at[k] : at[k + 1]]], cuts[kind[at[k] : at[k + 1]] + 1] - cuts[kind[at[k] : at[k + 1]]]
+        same = np.bincount(member[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)], minlength=len(parts))[:before]
+        likely = np.flatnonzero(same >= SIMILAR * LEAST)
+        first, last = int(stretches[k]) >> 32, int(stretches[k]) & 0xFFFFFFFF
+        for o in likely[np.argsort(-same[likely], kind="stable")].tolist():
+            done = False
+            for i, j, p, q, s in agreeing(parts[k], parts[o]):
+                a, b, c, d = int(begin[k]) + i, int(begin[k]) + j - 1, int(begin[o]) + p, int(begin[o]) + q - 1
+                out.append((int(doc[k]), a, b + SHINGLE, int(doc[o]), c, d + SHINGLE, s))
+                done |= max(first, a) <= min(last, b - LEAST + 1)
+            if done:
+                break
+    return out
+
+
+def settled_passages(members: DataFrame) -> DataFrame:
+    """Passages of open members, whichever of the earlier members of their groups has them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, doc, begin, stretches, size = (np.concatenate([unpacked(x) for x in rows.column(k).to_pylist()]) for k in ("keys", "docs", "begins", "runs", "sizes"))
+        values = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("values").to_pylist()])
+        at = np.cumsum(size) - size
+        rank = np.lexsort((begin, doc, key))
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[rank]) != 0, [True]]))
+        found: set[tuple] = set()
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            pick = rank[a:b]
+            if (stretches[pick] >= 0).any():
+                found.update(settled(doc[pick], begin[pick], stretches[pick], [values[at[k] : at[k] + size[k]] for k in pick.tolist()]))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+        cols = list(zip(*found, strict=True)) or [()] * 7
+        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
+    return members.groupBy("bucket").applyInArrow(run, FOUND)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """A row for each passage of a document that an earlier one (by doc_id) has too, by words; ends are excluded."""
     spark = docs.sparkSession
@@ -485,7 +576,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = staged(candidates(windows), "candidates")
     wanted = pairs.select("doc", F.explode("own").alias("span")).unionByName(pairs.select(F.col("other").alias("doc"), F.explode("theirs").alias("span")))
     wanted = wanted.groupBy("doc").agg(F.collect_set("span").alias("spans"))
-    return staged(verified(pairs, staged(segments(docs, wanted), "segments")), "passages")
+    found = staged(verified(pairs, staged(segments(docs, wanted), "segments")), "passages")
+    return found.unionByName(staged(settled_passages(open_members(docs, windows, found, buckets)), "settled"))
 
 
 def merged_passages(found: DataFrame) -> DataFrame:

@@ -143,3 +143,38 @@ def test_a_passage_beside_a_stretch_that_is_less_similar():
     for parts in ((a, fresh(200), b), (b, fresh(200), a)):
         found = S.agreeing(whole, np.concatenate(parts))
         assert [(i, j) for i, j, *_ in found] == [(0, 60), (60, 120)], found
+
+
+def variants(rng, p, n, part):
+    """Copies of a passage with that part of the words replaced, so that they don't agree with it or one another."""
+    return [[w if rng.random() > part else f"v{rng.randrange(10**7)}" for w in p] for _ in range(n)]
+
+
+def test_repeats_in_groups_that_variants_lead(docs):
+    rng = random.Random(9)
+    rows, want, at = [], {}, 0
+    for _ in range(40):
+        p = words(rng, 50)
+        for v in variants(rng, p, 12, 0.035):
+            rows.append((at, " ".join(words(rng, 30) + v + words(rng, 30))))
+            at += 1
+        same = variants(rng, p, 1, 0.035)[0]
+        for _ in range(2):  # exactly the same variant in both
+            rows.append((at, " ".join(words(rng, 30) + same + words(rng, 30))))
+            at += 1
+        want[at - 1] = same
+    found = S.merged_passages(S.repeated_passages(docs(rows))).collect()
+    for d in want:
+        spans = [(r["start_word"], r["end_word"]) for r in found if r["doc_id"] == d]
+        assert any(a <= 30 and b >= 80 for a, b in spans), (d, spans)
+
+
+def test_open_members_are_compared_with_all_before():
+    rng = np.random.default_rng(8)
+    line = rng.integers(0, 2**32, 20).astype(np.uint32)
+    parts = [np.concatenate([rng.integers(0, 2**32, 30).astype(np.uint32), line, rng.integers(0, 2**32, 30).astype(np.uint32)]) for _ in range(40)]
+    parts += [parts[17], parts[0][20:], parts[33]]  # the group's least document doesn't have the first and the last
+    runs = np.array([S.span_of(5, 25)] * 43)
+    found = S.settled(np.arange(43), np.zeros(43, np.int64), runs, parts)
+    assert {(r[0], r[3]) for r in found} == {(40, 17), (41, 0), (42, 33)}
+    assert not S.settled(np.arange(43), np.zeros(43, np.int64), np.full(43, -1), parts)
