@@ -519,6 +519,24 @@ def open_members(docs: DataFrame, windows: DataFrame, found: DataFrame, buckets:
     return texts.join(members, "doc").mapInArrow(run, MEMBERS)
 
 
+def dense(has: np.ndarray, spot: np.ndarray, likely: np.ndarray, members: int, size: int) -> np.ndarray:
+    """Which of the likely members have SIMILAR of some LEAST or more shingles in a row, as any similar passage does.
+    has and spot: the members that have each of the size shingles."""
+    out = np.zeros(len(likely), bool)
+    for a in range(0, len(likely), step := max(1, (1 << 22) // size)):
+        part = likely[a : a + step]
+        row = np.full(members, -1)
+        row[part] = np.arange(len(part))
+        mine = row[has] >= 0
+        total = np.zeros((len(part), size + 1))
+        total[:, 1:] = -SIMILAR
+        total[row[has[mine]], spot[mine] + 1] = 1 - SIMILAR
+        np.cumsum(total, axis=1, out=total)
+        lowest = np.minimum.accumulate(total[:, : size + 1 - LEAST], axis=1)
+        out[a : a + step] = (total[:, LEAST:] >= lowest - 1e-6).any(axis=1)
+    return out
+
+
 def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: list[np.ndarray]) -> list[tuple]:
     """Passages of a group's open members: each is compared with all before it, those with most in common first, until
     one has a stretch of its run. Members come sorted by document."""
@@ -533,8 +551,10 @@ def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: li
         if not before:
             continue
         low, n = cuts[kind[at[k] : at[k + 1]]], cuts[kind[at[k] : at[k + 1]] + 1] - cuts[kind[at[k] : at[k + 1]]]
-        same = np.bincount(member[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)], minlength=len(parts))[:before]
+        has, spot = member[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)], np.repeat(np.arange(size[k]), n)
+        same = np.bincount(has, minlength=len(parts))[:before]
         likely = np.flatnonzero(same >= SIMILAR * LEAST)
+        likely = likely[dense(has, spot, likely, len(parts), int(size[k]))]
         first, last = int(stretches[k]) >> 32, int(stretches[k]) & 0xFFFFFFFF
         for o in likely[np.argsort(-same[likely], kind="stable")].tolist():
             done = False
