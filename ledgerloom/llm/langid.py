@@ -35,6 +35,8 @@ ROUNDS = 2
 #: Counts added to each piece, and the probability of a letter that no piece has.
 ADDED, UNKNOWN = 0.05, 1e-9
 LONGEST = 48
+#: Sums over segmentations are kept times two to so many for each letter.
+SCALE_BITS = 13
 CACHE_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -87,10 +89,15 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def _scale(rows: np.ndarray) -> np.ndarray:
+    """Each letter's factor, so that LONGEST unknown letters stay above the least double."""
+    return np.ldexp(1.0, SCALE_BITS * (rows[:, 0] - rows[:, 2]))[:, None]
+
+
 def _sweep(state: np.ndarray, rows: np.ndarray, key: int, source: int, prob: np.ndarray) -> None:
     """state[word, rows.key] += state[word, rows.source] * prob[piece] for rows of one key value, sorted by word."""
     w = rows[:, 1]
-    add = state[w, rows[:, source]] * prob[rows[:, 3]]
+    add = state[w, rows[:, source]] * prob[rows[:, 3]] * _scale(rows)
     first = np.flatnonzero(np.concatenate([[True], np.diff(w) != 0]))
     state[w[first], rows[0, key]] += np.add.reduceat(add, first, axis=0)
 
@@ -108,7 +115,7 @@ def forward(words: list[str], vocabulary: Vocabulary, prob: np.ndarray) -> tuple
 def word_scores(words: list[str], vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
     alpha, _, n = forward(words, vocabulary, prob)
-    return np.log(alpha[np.arange(len(words)), n])
+    return np.log(alpha[np.arange(len(words)), n]) - (n * SCALE_BITS * np.log(2))[:, None]
 
 
 def expected_counts(words: list[str], weights: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
@@ -121,7 +128,7 @@ def expected_counts(words: list[str], weights: np.ndarray, vocabulary: Vocabular
         _sweep(beta, part, 2, 0, prob)
     total = alpha[np.arange(len(words)), n]
     w = rows[:, 1]
-    share = alpha[w, rows[:, 2]] * prob[rows[:, 3]] * beta[w, rows[:, 0]] / total[w] * weights[w][:, None]
+    share = alpha[w, rows[:, 2]] * prob[rows[:, 3]] * _scale(rows) * beta[w, rows[:, 0]] / total[w] * weights[w][:, None]
     return np.bincount(rows[:, 3], share[:, 0], vocabulary.size)
 
 

@@ -58,3 +58,17 @@ def test_odd_rows(docs):
     assert langid.identify(docs([]), model).count() == 0
     none = langid.identify(docs([(1, "text")]), langid.train(frame.limit(0))).collect()
     assert none[0]["lang_pred"] == "und"
+
+
+def test_long_runs_of_unknown_letters_stay_finite():
+    import numpy as np
+
+    from ledgerloom.llm import langid
+
+    vocabulary = langid.Vocabulary.shared(langid.VOCABULARY)
+    prob = np.full((vocabulary.size, 2), 1 / vocabulary.size)
+    prob[0] = langid.UNKNOWN
+    words = ["\U00010330" * 48, "hello"]
+    scores = langid.word_scores(words, vocabulary, prob)
+    assert np.isfinite(scores).all() and abs(scores[0, 0] - np.log(langid.UNKNOWN) * 48 - np.log(prob[1, 0])) < 20
+    assert np.isfinite(langid.expected_counts(words, np.ones(2), vocabulary, prob[:, :1])).all()
