@@ -38,7 +38,7 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 #: An opening tag of the first ends an open element of the second within the same container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("article aside body div section main td th table ul ol dl nav header footer form blockquote figure html details fieldset".split())
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:(?P<mute>script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)\b[^>]*(?:>.*?(?:</(?P=mute)\s*>|\Z)|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math|object)(?=[\s/>])[^>]*/>|<(?:(?P<mute>script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</(?P=mute)\s*>|\Z)|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 

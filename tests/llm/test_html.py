@@ -66,3 +66,11 @@ def test_odd_rows(spark, net):
     assert len(got) == 6 and [r["text"] for r in got if r["page_id"] in (1, 2, None)] == ["", "", ""]
     assert all(r["n_chars"] == len(r["text"]) > 90_000 for r in got if r["page_id"] == 4)
     assert html.extract(frame.limit(0), net).count() == 0
+
+
+def test_closed_and_custom_elements_mute_nothing():
+    from ledgerloom.llm import html
+
+    for tag in ("<svg class='x'/>", "<math />", "<object data='a'/>", "<title-bar>", "<select-x>"):
+        assert [b.text for b in html.blocks(f"<body><p>one</p>{tag}<p>two</p></body>")] == ["one", "two"], tag
+    assert [b.text for b in html.blocks("<p>one</p><svg><path/>no</svg><title\n>no</title><p>two</p>")] == ["one", "two"]
