@@ -34,6 +34,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame) -> int:
+    """Shuffle partitions that grow with the input: as many as it is read in, and no fewer than the session's setting."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

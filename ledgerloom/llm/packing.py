@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.base import slices, staged, table, texts
-from ledgerloom.llm.tokens import PieceEncoder
+from ledgerloom.llm.base import slices, staged, table
+from ledgerloom.llm.tokens import PieceEncoder, blobs, ended
 
 CAPACITY = 2048
 END_ID = 0
@@ -102,17 +102,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids, cut from each text's ids and the end id; ids are packed 32-bit integers."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(tokenizer)
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_all(texts(batch)), strict=True):
-                ids += end
-                rows += [(doc, k, k * capacity, len(part) // 4, part) for k in range(-(-len(ids) // (4 * capacity))) for part in (ids[k * 4 * capacity : (k + 1) * 4 * capacity],)]
-            columns = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+        for batch in slices(batches, "text", 16 << 20):
+            ids, n = ended(*encoder.encode(batch.column("text")), end_id)
+            pieces = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            size = np.minimum(capacity, n[doc] - number * capacity)
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size), blobs(ids, size)], ["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.base import ROW_GROUP_BYTES, shared_dir, slices, staged, table, texts
-from ledgerloom.llm.tokens import PieceEncoder
+from ledgerloom.llm.base import ROW_GROUP_BYTES, parts_for, shared_dir, slices, staged, table
+from ledgerloom.llm.tokens import PieceEncoder, blobs, ended
 
 END_ID = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -150,31 +150,33 @@ def decode_block(data: bytes, shared: Table, first: int = 0, last: int | None =
     return shared.ids[out]
 
 
-TOKENS = "part int, row long, start long, doc_id long, n_tokens long, ids binary"
+TOKENS = "part int, row long, start long, doc_id long, n_tokens long, ids binary, kinds binary, counts binary"
 BLOCKS = "part int, row long, start long, n_docs int, n_ids long, ids_crc32 long, doc_ids array<long>, lengths binary, block binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """Ids of each text in ascending doc_id order: `part` is a range of doc_id, start counts from the part's begin."""
-    end = np.array([end_id], "<u2").tobytes()
+    """Ids of each text in ascending doc_id order: `part` is a range of doc_id, start counts from the part's begin. A
+    part's last row has no document, but the different ids of the part and how often each occurs."""
+    names = [x.split()[0] for x in TOKENS.split(", ")]
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start = TaskContext.get().partitionId(), 0, 0
         encoder = PieceEncoder.shared(tokenizer, "<u2")
-        for batch in slices(batches, "text"):
-            ids = [x + end for x in encoder.encode_all(texts(batch))]
-            n = np.array([len(x) // 2 for x in ids], np.int64)
+        counts = np.zeros(1 << 16, np.int64)
+        for batch in slices(batches, "text", 16 << 20):
+            ids, n = ended(*encoder.encode(batch.column("text")), end_id)
+            counts += np.bincount(ids, minlength=1 << 16)
             through = start + np.cumsum(n)
-            yield pa.record_batch(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(row + np.arange(len(n), dtype=np.int64)), pa.array(through - n), batch.column("doc_id"), pa.array(n), pa.array(ids, pa.binary())],
-                ["part", "row", "start", "doc_id", "n_tokens", "ids"],
-            )
+            none = pa.nulls(len(n), pa.binary())
+            yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(row + np.arange(len(n))), pa.array(through - n), batch.column("doc_id"), pa.array(n), blobs(ids, n), none, none], names)
             row, start = row + len(n), int(through[-1])
+        if row:
+            found = np.flatnonzero(counts)
+            both = [pa.array([x.tobytes()], pa.binary()) for x in (found.astype("<u2"), counts[found].astype("<i8"))]
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([row]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *both], names)
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts_for(docs), "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
     return ordered.mapInArrow(ids_of, TOKENS)
 
 
@@ -184,14 +186,12 @@ def frequencies(tokens: DataFrame) -> Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                n += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16) if len(ids.as_buffer()) > 50_000 else 0
-            small = [x.as_buffer() for x in batch.column("ids") if len(x.as_buffer()) <= 50_000]
-            n += np.bincount(np.frombuffer(b"".join(small), "<u2"), minlength=1 << 16)
+            for kinds, counts in zip(batch.column("kinds").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                n[np.frombuffer(kinds, "<u2")] += np.frombuffer(counts, "<i8")
         found = np.flatnonzero(n)
         yield pa.record_batch([pa.array(found.astype(np.int32)), pa.array(n[found])], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.filter("kinds is not null").select("kinds", "counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return Table({r["id"]: r["n"] for r in rows})
 
 
@@ -200,6 +200,7 @@ def write_blocks(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     spark = docs.sparkSession
     tokens = staged(tokenize(docs, tokenizer, end_id), "ids")
     shared = frequencies(tokens)
+    tokens = tokens.filter("kinds is null")
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # a row for each task of tokenize()
