@@ -44,6 +44,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def strings(column: pa.Array) -> pa.Array:
+    """The column as large strings, null as empty. It is copied first: casts of slices keep their buffers' offsets,
+    which some Arrow functions don't mind."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column.take(pa.array(np.arange(len(column)))).cast(pa.large_string()), "")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column takes about `most` bytes in each; a longer row stays alone."""
     import numpy as np

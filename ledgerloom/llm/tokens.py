@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ledgerloom.llm.base import strings
+
 #: Parts that one worker keeps. When there are more, those of the texts at hand stay.
 CACHE_PARTS = 600_000
 #: Texts that go to the library whole: by their characters, and for the byte-level rule by their white space.
@@ -101,7 +103,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Null texts are empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = strings(texts)
         whole = pc.match_substring_regex(texts, self.whole)
         if not pc.any(whole).as_py():
             return self._common(texts)
