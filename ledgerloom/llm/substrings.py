@@ -5,11 +5,12 @@ more has one least element; passages with the same one form a compact window (fr
 Cartesian tree over the sequence. The nodes that span LEAST or more are found together, as the runs of the places of
 sliding minima. Two passages whose similarity is s share the least element in a part s of the orders.
 
-Windows whose centre occurs in one document only can't match. Chunks of documents send their windows, packed as
-arrays, to buckets by centre; a centre that a chunk has in several documents is known to be shared, and is sent once.
-Shared windows of neighbouring orders are then joined where one stretch has both centres, and documents that share
-such a pair of centres are candidates. Each is compared with its group's least document first. Those that have no
-passage there after that are open, and are compared with all earlier ones of the group, until one has it.
+A passage can only agree with another document's if SIMILAR of its hashes occur in other documents at all. So chunks
+of documents first ask, by bucket, which of their hashes are shared; only regions in which LEAST or more hashes in a
+row are shared to that part have windows. Windows of neighbouring orders are joined where one stretch has both
+centres, and documents that share such a pair of centres are candidates. Each is compared with its group's least
+document first. Those that have no passage there after that are open, and are compared with all earlier ones of the
+group that can have one, until one has it; equal contents are one in that.
 Candidates are verified on the passages themselves: all stretches that begin and end with runs that agree, and have a
 similarity (of the sets of five words) of SIMILAR or more, the largest first.
 
@@ -22,16 +23,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.base import slices, staged, table
-from ledgerloom.llm.lm import packed, unpacked
+from ledgerloom.llm.chunks import chunks, packed, unpacked
 
 SHINGLE = 5
 #: Words of the shortest passage, and its shingles.
@@ -39,9 +38,10 @@ WORDS = 50
 LEAST = WORDS - SHINGLE + 1
 SIMILAR = 0.8
 HASHES = 8
-CHUNK_SHINGLES = 1_000_000
-#: Stands for no document in a message; no id is so small.
-NO_DOCUMENT = np.iinfo(np.int64).min
+#: Words for each bucket, about.
+BUCKET_WORDS = 2_000_000
+#: Bits of a hash that chunks ask about.
+ASKED_BITS = 48
 #: Shingles whose windows are found together, so that the arrays stay in a core's cache.
 TOGETHER = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,18 +49,19 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = 0x9E3779B97F4A7C15
 
 
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each five hashes of words in a row."""
+    n = max(0, len(words) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * _MIX[0] + words[k : k + n]
+    return mixed(h, SHINGLE)
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """XXH64 of each five words."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if len(words) < SHINGLE:
-        return np.zeros(0, np.uint64)
-    line, h = b" ".join(words), xxhash.xxh64_intdigest
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: len(words) - SHINGLE + 1].tolist()
-    return np.fromiter((h(line[a:b]) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return shingle_hashes(np.array([xxhash.xxh64_intdigest(w) for w in (text or "").encode().lower().split()], np.uint64))
 
 
 def mixed(x: np.ndarray, order: int) -> np.ndarray:
@@ -131,117 +132,99 @@ def compact_windows(values: np.ndarray, doc: np.ndarray, least: int = LEAST) ->
     return np.stack([low, start[new], last, high, c])
 
 
-def one_for_each_key(key: np.ndarray, doc: np.ndarray, order: np.ndarray, spot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows sorted by key and document; those of one key that overlap are one. spot: (from, first stretch, last
-    stretch, to). Texts that repeat themselves have very many such windows, one within the other."""
-    rank = np.lexsort((-spot[3], spot[0], doc, key))
-    key, doc, order, spot = key[rank], doc[rank], order[rank], spot[:, rank]
-    group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(doc) != 0)]))
-    wide = np.int64(1) << 33
-    reach = np.maximum.accumulate(group * wide + spot[3])
-    new = np.flatnonzero(np.concatenate([[True], group[1:] * wide + spot[0, 1:] > reach[:-1]]))
-    at = lambda f, k: f.reduceat(spot[k], new)
-    return key[new], doc[new], order[new], np.stack([at(np.minimum, 0), at(np.minimum, 1), at(np.maximum, 2), at(np.maximum, 3)])
-
-
-SENT = "bucket int, chunk long, direct boolean, keys binary, docs binary, orders binary, spots binary"
-SHARED = "chunk long, keys binary, docs binary, orders binary, spots binary"
-PAIRED = "key long, doc long, span long, run long"
-
-
-def send_windows(docs: DataFrame, buckets: int, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """Messages with windows: key (of centre and order), document, order, (from, first stretch, last stretch, to)."""
-
-    def windows(ids: list[int], parts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        values = np.concatenate(parts)
-        size = np.array([len(p) for p in parts])
-        doc = np.repeat(np.arange(len(parts)), size)
-        begin = np.cumsum(size) - size
-        found = []
-        for order in range(HASHES):
-            m = mixed(values, order)
-            spot = compact_windows(m, doc)
-            c = spot[4]
-            found.append((m[c], doc[c], np.full(len(c), order, np.uint8), spot[:4] - begin[doc[c]]))
-        key, doc, order, spot = (np.concatenate([f[i] for f in found], axis=-1) for i in range(4))
-        return key, np.array(ids, np.int64)[doc], order, spot
-
-    def messages(chunk: int, ids: list[int], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cuts = np.searchsorted(np.cumsum([len(p) for p in parts]) // TOGETHER, np.arange(1, sum(map(len, parts)) // TOGETHER + 1))
-        edges = sorted({0, *cuts.tolist(), len(parts)})
-        found = [windows(ids[a:b], parts[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        key, ids_of, order, spot = (np.concatenate([f[i] for f in found], axis=-1) for i in range(4))
-        if not len(key):
-            return
-        key, ids_of, order, spot = one_for_each_key(key, ids_of, order, spot)
-        new = np.concatenate([[True], np.diff(key) != 0])
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        several = (ids_of[np.append(first[1:], len(key)) - 1] != ids_of[first])[group]
-        of = (key % np.uint64(buckets)).astype(np.int64)
-        rows = [(buckets + chunk % buckets, True, several)]
-        sent = np.flatnonzero(~several | new)
-        by = sent[np.argsort(of[sent], kind="stable")]
-        cuts = np.searchsorted(of[by], np.arange(buckets + 1))
-        rows += [(b, False, by[cuts[b] : cuts[b + 1]]) for b in range(buckets)]
-        cols: list[list] = [[] for _ in range(7)]
-        for b, direct, pick in rows:
-            k = key[pick]
-            if len(k):
-                # A shared centre's message only tells others of it.
-                d = np.where(several[pick] & (not direct), NO_DOCUMENT, ids_of[pick])
-                for col, x in zip(cols, (b, chunk, direct, packed(k), packed(d), packed(order[pick]), packed(spot[:, pick].astype(np.uint32).reshape(-1))), strict=True):
-                    col.append(x)
-        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SENT.split(", ")])
+class Shingled:
+    """A chunk's shingles: their values, document (by its place in the chunk) and place; short documents and those
+    without an id are left out."""
+
+    def __init__(self, row: dict) -> None:
+        lengths, words, tokens = (unpacked(row[k]) for k in ("lengths", "words", "tokens"))
+        ends = np.cumsum(lengths.astype(np.int64)) - 1  # the end token isn't a word
+        starts = ends + 1 - lengths
+        count = ends - starts - SHINGLE + 1
+        good = (count >= LEAST) & np.array([d is not None for d in row["doc_ids"]], bool)
+        n = count[good]
+        self.doc = np.repeat(np.flatnonzero(good), n)
+        self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)
+        self.values = shingle_hashes(words[tokens])[starts[self.doc] + self.place] if len(self.doc) else np.zeros(0, np.uint64)
+        self.ids = np.array([0 if d is None else d for d in row["doc_ids"]], np.int64)
+        key = self.values >> np.uint64(64 - ASKED_BITS)
+        self.order = np.argsort(key, kind="stable")
+        key = key[self.order]
+        self.new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        first = np.flatnonzero(self.new)
+        self.keys = key[first]
+        id_of = self.ids[self.doc[self.order]]
+        self.several = np.maximum.reduceat(id_of, first) != np.minimum.reduceat(id_of, first) if len(first) else np.zeros(0, bool)
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        """Where each bucket's keys begin; a bucket is a range of keys."""
+        edges = [-(-(b << ASKED_BITS) // buckets) for b in range(buckets)]
+        return np.append(np.searchsorted(self.keys, np.array(edges, np.uint64)), len(self.keys))
+
+
+SENT = "bucket int, chunk long, keys binary, several binary"
+TOLD = "chunk long, bucket int, shared binary"
+
+
+def ask(chunked: DataFrame, buckets: int) -> DataFrame:
+    """A message for each chunk and bucket: the different keys, as differences, and which the chunk has in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), count()
-        ids: list[int] = []
-        parts: list[np.ndarray] = []
-        size = 0
-        for batch in slices(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                values = shingles(text)
-                if doc is None or len(values) < LEAST:
-                    continue
-                if size and size + len(values) > chunk_shingles:
-                    yield from messages((task << 32) + next(made), ids, parts)
-                    ids, parts, size = [], [], 0
-                ids.append(doc)
-                parts.append(values)
-                size += len(values)
-        if size:
-            yield from messages((task << 32) + next(made), ids, parts)
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = Shingled(row)
+                cuts = x.cuts(buckets)
+                parts = [(b, slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
+                keys, several = ([f(p) for _, p in parts] for f in (lambda p: packed(np.diff(x.keys[p], prepend=np.uint64(0))), lambda p: packed(np.packbits(x.several[p]))))
+                yield pa.record_batch([pa.array([b for b, _ in parts], pa.int32()), pa.array([row["chunk"]] * len(parts), pa.int64()), pa.array(keys, pa.binary()), pa.array(several, pa.binary())], ["bucket", "chunk", "keys", "several"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SENT)
+    return chunked.mapInArrow(run, SENT)
 
 
-def shared_windows(sent: DataFrame) -> DataFrame:
-    """The messages' windows whose centre occurs in several documents, by chunk."""
+def answer(asked: DataFrame) -> DataFrame:
+    """To each message, which of its keys occur in several documents: a bit for each."""
 
     def run(rows: pa.Table) -> pa.Table:
-        chunk, direct = rows.column("chunk").to_pylist(), rows.column("direct").to_pylist()
-        blobs = [rows.column(k).to_pylist() for k in ("keys", "docs", "orders", "spots")]
-        if direct[0]:
-            return pa.table([rows.column(k) for k in ("chunk", "keys", "docs", "orders", "spots")], ["chunk", "keys", "docs", "orders", "spots"])
-        keys, docs = ([unpacked(x) for x in b] for b in blobs[:2])
-        one = [k[np.concatenate([[True], k[1:] != k[:-1]])] for k in keys]  # they come sorted
-        every = np.sort(np.concatenate(one))
-        told = np.concatenate([k[d == NO_DOCUMENT] for k, d in zip(keys, docs, strict=True)])
-        shared = np.union1d(every[1:][every[1:] == every[:-1]], told)
-        out: list[tuple] = []
-        for c, k, d, o, s in zip(chunk, keys, docs, blobs[2], blobs[3], strict=True):
-            if not len(shared):
-                break
-            keep = (shared[np.minimum(np.searchsorted(shared, k), len(shared) - 1)] == k) & (d != NO_DOCUMENT)
-            if keep.any():
-                out.append((c, packed(k[keep]), packed(d[keep]), packed(unpacked(o)[keep]), packed(unpacked(s).reshape(4, -1)[:, keep].reshape(-1))))
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["chunk", "keys", "docs", "orders", "spots"])
-
-    return sent.groupBy("bucket").applyInArrow(run, SHARED)
+        keys = [np.cumsum(unpacked(x)) for x in rows.column("keys").to_pylist()]
+        several = [np.unpackbits(unpacked(x), count=len(k)).astype(bool) for x, k in zip(rows.column("several").to_pylist(), keys, strict=True)]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        same = every[1:] == every[:-1]
+        shared = np.concatenate(several)[order]
+        shared[1:] |= same
+        shared[:-1] |= same
+        if len(every):  # several documents of one chunk
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            shared = np.repeat(np.logical_or.reduceat(shared, first), np.diff(np.append(first, len(every))))
+        told = np.empty(len(every), bool)
+        told[order] = shared
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table([rows.column("chunk"), rows.column("bucket"), pa.array([packed(np.packbits(t)) for t in np.split(told, ends)], pa.binary())], ["chunk", "bucket", "shared"])
+
+    return asked.groupBy("bucket").applyInArrow(run, TOLD)
+
+
+def dense_regions(weight: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each place is in a stretch of LEAST or more of its document whose weights add up to zero or more."""
+    n = len(weight)
+    # A row of sums for each document, one longer than it is.
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    size = np.diff(np.append(first, n))
+    number = np.repeat(np.arange(len(first)), size + 1)
+    begin = np.cumsum(size + 1) - size - 1
+    total = np.zeros(len(number), np.int64)
+    put = np.arange(n) + np.repeat(np.arange(len(first)), size) + 1
+    total[put] = weight
+    total = np.cumsum(total)
+    total -= np.repeat(total[begin], size + 1)
+    wide = np.int64(1) << 40
+    # The least sum of the document so far, turned round: it never falls, and each document's lies above the last one's.
+    ladder = -np.minimum.accumulate(total - number * wide)
+    left, at = np.searchsorted(ladder, number * wide - total), np.arange(len(total))
+    good = left <= at - LEAST
+    edge = np.bincount(left[good], minlength=len(total) + 1) - np.bincount(at[good], minlength=len(total) + 1)
+    return (np.cumsum(edge)[:-1] > 0)[put - 1]
 
 
 def span_of(a, b):
@@ -249,42 +232,88 @@ def span_of(a, b):
     return a << 32 | b
 
 
-def joined_windows(shared: DataFrame) -> DataFrame:
-    """(key of two centres, document, span, run): the common interval of windows of neighbouring orders, and the run of
-    stretches (first, last) that have both centres.
+def joined_windows(values: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key of two centres, part, from, to, first, last) of the windows of neighbouring orders that meet, by parts: the
+    common interval, and the run of stretches (first to last) that have both centres. Places count over all parts.
 
     Two windows meet if one stretch of LEAST has both centres as its least elements, so there are only as many pairs
     as runs of stretches; a passage that agrees has stretches that do.
     """
-
-    def run(rows: pa.Table) -> pa.Table:
-        keys, docs, orders, spots = ([unpacked(x) for x in rows.column(k).to_pylist()] for k in ("keys", "docs", "orders", "spots"))
-        key, doc, order = map(np.concatenate, (keys, docs, orders))
-        a, first, last, b = np.concatenate([s.reshape(4, -1) for s in spots], axis=1).astype(np.int64)
-        number = np.unique(doc, return_inverse=True)[1] * (np.int64(1) << 33)
-        out = [(np.zeros(0, np.int64),) * 4]
-
-        def inside(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs of a window of x and one of y whose run begins in that of the first."""
-            y = y[np.argsort(number[y] + first[y], kind="stable")]
-            places = number[y] + first[y]
-            low, high = np.searchsorted(places, number[x] + first[x]), np.searchsorted(places, number[x] + last[x], "right")
-            n = high - low
-            return np.repeat(x, n), y[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
-
-        for k in range(HASHES):
-            x, y = np.flatnonzero(order == k), np.flatnonzero(order == (k + 1) % HASHES)
-            if not len(x) or not len(y):
-                continue
-            i, j = inside(x, y)
-            j2, i2 = inside(y, x)
-            rest = first[j2] < first[i2]
-            i, j = np.concatenate([i, i2[rest]]), np.concatenate([j, j2[rest]])
-            both = mixed(key[i] ^ (key[j] << np.uint64(1) | key[j] >> np.uint64(63)), 77 + k)
-            out.append((both.view(np.int64), doc[i].astype(np.int64), span_of(np.maximum(a[i], a[j]), np.minimum(b[i], b[j])), span_of(np.maximum(first[i], first[j]), np.minimum(last[i], last[j]))))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "doc", "span", "run"])
-
-    return shared.groupBy("chunk").applyInArrow(run, PAIRED)
+    found = []
+    for order in range(HASHES):
+        m = mixed(values, order)
+        a, first, last, b, c = compact_windows(m, part)
+        found.append((m[c], a, first, last, b))
+    out = []
+    for k in range(HASHES):
+        x, y = found[k], found[(k + 1) % HASHES]
+        # Runs of stretches come in their order and don't overlap, so each run's begin falls into one run at most.
+        at = [np.searchsorted(v[2], u[2], "right") - 1 for u, v in ((x, y), (y, x))]
+        into = [(w >= 0) & (v[3][np.maximum(w, 0)] >= u[2]) if len(v[2]) else np.zeros(len(w), bool) for w, u, v in ((at[0], x, y), (at[1], y, x))]
+        i, j = np.flatnonzero(into[0]), at[0][into[0]]
+        j2, i2 = np.flatnonzero(into[1]), at[1][into[1]]
+        new = x[2][i2] < y[2][j2]  # those that begin together have been found
+        i, j = np.concatenate([i, i2[new]]), np.concatenate([j, j2[new]])
+        key = mixed(x[0][i] ^ (y[0][j] << np.uint64(1) | y[0][j] >> np.uint64(63)), 77 + k)
+        first = np.maximum(x[2][i], y[2][j])
+        out.append((key, part[first], np.maximum(x[1][i], y[1][j]), np.minimum(x[4][i], y[4][j]), first, np.minimum(x[3][i], y[3][j])))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def one_for_each_key(key: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same windows, but those of one key and part that overlap are one. Texts that repeat themselves have very
+    many such windows, one within the other."""
+    rank = np.lexsort((low, part, key))
+    key, part, low, high, first, last = (v[rank] for v in (key, part, low, high, first, last))
+    group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(part) != 0)]))
+    wide = np.int64(1) << 33
+    reach = np.maximum.accumulate(group * wide + high)
+    new = np.flatnonzero(np.concatenate([[True], group[1:] * wide + low[1:] > reach[:-1]]))
+    return key[new], part[new], low[new], np.maximum.reduceat(high, new), np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+
+
+REGIONS = "doc long, key long, span long, run long, begin int, values binary"
+
+
+def windows_and_regions(chunked: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """Rows (doc, key, span, run) of windows, and rows (doc, begin, values) of the regions that they are in."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = [x.split()[0] for x in REGIONS.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        x = Shingled(left.to_pylist()[0])
+        cuts = x.cuts(buckets)
+        shared = np.zeros(len(x.keys), bool)
+        for b, bits in zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist(), strict=True):
+            shared[cuts[b] : cuts[b + 1]] = np.unpackbits(unpacked(bits), count=cuts[b + 1] - cuts[b])
+        if not shared.any():
+            return pa.table([pa.nulls(0, t) for t in kinds], names)
+        weight = np.empty(len(x.values), np.int64)
+        again = ~x.new
+        again[1:] &= x.doc[x.order[1:]] == x.doc[x.order[:-1]]
+        # A similarity is one of sets: what a document repeats and nobody else has counts once.
+        weight[x.order] = np.where(shared[np.cumsum(x.new) - 1], 1, np.where(again, 0, -round(SIMILAR / (1 - SIMILAR))))
+        at = np.flatnonzero(dense_regions(weight, x.doc))
+        if not len(at):
+            return pa.table([pa.nulls(0, t) for t in kinds], names)
+        values, doc, place = x.values[at], x.doc[at], x.place[at]
+        part = np.cumsum(np.concatenate([[False], (np.diff(doc) != 0) | (np.diff(place) != 1)]))
+        begins = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0]))
+        edges = sorted({0, len(values), *begins[np.searchsorted(begins, np.arange(TOGETHER, len(values), TOGETHER), "right") - 1].tolist()})
+        found = [one_for_each_key(*joined_windows(values[a:b], part[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+        shift = np.repeat(edges[:-1], [len(f[0]) for f in found])
+        key, of, *spots = (np.concatenate(c) for c in zip(*found, strict=True))
+        low, high, first, last = (place[s + shift] for s in spots)
+        n, r = len(key), len(begins)
+        data = [values[a:b].astype("<u4").tobytes() for a, b in zip(begins, np.append(begins[1:], len(values)), strict=True)]  # 32 bits tell the shingles of two documents apart
+        both = lambda w, none: pa.concat_arrays([pa.array(w), pa.nulls(none, pa.int64())])
+        return pa.table(
+            [pa.array(np.concatenate([x.ids[doc[begins[of]]], x.ids[doc[begins]]])), both(key.view(np.int64), r), both(span_of(low, high), r), both(span_of(first, last), r),
+             pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(place[begins].astype(np.int32))]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(data, pa.binary())])],
+            names,
+        )
+
+    return chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(run, REGIONS)
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -417,92 +446,78 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
     return sorted(out)
 
 
-def candidates(windows: DataFrame) -> DataFrame:
-    """(doc, other, own, theirs): documents beside their groups' least ones, with intervals of both."""
-    first = windows.groupBy("key").agg(F.min(F.struct("doc", "span")).alias("_f"))
-    beside = windows.join(first, "key").filter("doc > _f.doc")
-    return beside.groupBy("doc", F.col("_f.doc").alias("other")).agg(F.collect_set("span").alias("own"), F.collect_set("_f.span").alias("theirs"))
+def groups_of(windows: DataFrame) -> DataFrame:
+    """(key, doc, span, n): the least document of each key that several windows have, and how many have it."""
+    return windows.groupBy("key").agg(F.min(F.struct("doc", "span")).alias("_f"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("_f.doc").alias("other"), F.col("_f.span").alias("theirs"), "n")
 
 
-def segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: (doc, spans). (doc, spans, values): the shingles within the merged spans of each document."""
+def candidates(windows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc, other, own, theirs): documents beside their groups' least ones, with intervals of both."""
+    beside = windows.join(groups, "key").filter("doc > other")
+    return beside.groupBy("doc", "other").agg(F.collect_set("span").alias("own"), F.collect_set("theirs").alias("theirs"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            held, data = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), _spans(batch.column("spans")), strict=True):
-                values = shingles(text)
-                spans = np.minimum(spans[spans[:, 0] < len(values)], len(values) - 1)
-                held.append(span_of(spans[:, 0], spans[:, 1]))
-                # 32 bits tell a document's shingles apart
-                data.append(np.concatenate([values[:0], *(values[a : b + 1] for a, b in spans.tolist())]).astype("<u4").tobytes())
-            yield pa.record_batch([batch.column("doc"), pa.array(held, pa.list_(pa.int64())), pa.array(data, pa.binary())], ["doc", "spans", "values"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    return texts.join(wanted, "doc").mapInArrow(run, "doc long, spans array<long>, values binary")
+FOUND = "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int, similarity double"
 
 
-FOUND = "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int, similarity double"
+def within(begin: int, end: int, regions: list[dict]) -> np.ndarray | None:
+    """The shingles from begin to end, both included, of the region that has them."""
+    for r in regions:
+        if r["begin"] <= begin and end < r["begin"] + len(r["values"]) // 4:
+            return np.frombuffer(r["values"], "<u4")[begin - r["begin"] : end + 1 - r["begin"]]
+    return None  # rows with one id may have other texts
 
 
 def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Passages of each pair of documents that agree."""
 
-    def cut(spans: np.ndarray, held: np.ndarray, data: bytes) -> list[tuple[int, np.ndarray]]:
-        """(begin, shingles) of each interval; held: the intervals that data has."""
-        values, at = np.frombuffer(data, "<u4"), np.concatenate([[0], np.cumsum(held[:, 1] - held[:, 0] + 1)])
-        out = []
-        for a, b in spans.tolist():
-            k = int(np.searchsorted(held[:, 0], a, "right")) - 1
-            if k >= 0 and a <= held[k, 1]:
-                s = int(held[k, 0])
-                out.append((a, values[at[k] + a - s : at[k] + min(b, int(held[k, 1])) + 1 - s]))
-        return out
+    def cut(spans: np.ndarray, regions: list[dict]) -> list[tuple[int, np.ndarray]]:
+        """(begin, shingles) of each interval."""
+        found = [(a, within(a, b, regions)) for a, b in spans.tolist()]
+        return [(a, v) for a, v in found if v is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            columns = [_spans(batch.column(k)) for k in ("own", "spans", "theirs", "spans2")] + [batch.column(k).to_pylist() for k in ("doc", "other", "values", "values2")]
-            for own, held, theirs, held2, doc, other, data, data2 in zip(*columns, strict=True):
-                right = cut(theirs, held2, data2)
+            columns = [_spans(batch.column(k)) for k in ("own", "theirs")] + [batch.column(k).to_pylist() for k in ("doc", "other", "regions", "regions2")]
+            for own, theirs, doc, other, regions, regions2 in zip(*columns, strict=True):
+                right = cut(theirs, regions2)
                 y = np.concatenate([v for _, v in right]) if right else np.zeros(0, np.uint32)
                 spot = np.concatenate([s + np.arange(len(v)) for s, v in right]) if right else np.zeros(0, np.int64)
-                for start, x in cut(own, held, data):
+                for start, x in cut(own, regions):
                     for i, j, p, q, s in agreeing(x, y):
                         rows.append((doc, start + i, start + j - 1 + SHINGLE, other, int(spot[p]), int(spot[q - 1]) + SHINGLE, s))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-    theirs = parts.select(F.col("doc").alias("other"), F.col("spans").alias("spans2"), F.col("values").alias("values2"))
+    theirs = parts.select(F.col("doc").alias("other"), F.col("regions").alias("regions2"))
     return pairs.join(parts, "doc").join(theirs, "other").mapInArrow(run, FOUND)
 
 
 MEMBERS = "bucket int, keys binary, docs binary, begins binary, runs binary, sizes binary, values binary"
 
 
-def open_members(docs: DataFrame, windows: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+def open_members(parts: DataFrame, windows: DataFrame, groups: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """Messages with the groups that have open members: those with no found passage around a stretch of their run. For
     each member of them up to the last open one: key, document, begin of the interval, run (-1 if it isn't open), and
     the interval's shingles."""
     covered = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.expr(f"cast(start_word as long) << 32 | (end_word - {SHINGLE})")).alias("covered"))
     is_open = f"not coalesce(exists(covered, c -> greatest(run >> 32, c >> 32) + {LEAST - 1} <= least((run & 4294967295) + {LEAST - 1}, c & 4294967295)), false)"
     # A group of two windows has been compared.
-    several = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("low")).filter("n > 2")
-    later = windows.join(several, "key").filter("doc > low").select("key", "doc", "run")
+    later = windows.join(groups.filter("n > 2"), "key").filter("doc > other").select("key", "doc", "run")
     last = later.join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
     members = windows.join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
     members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))")).drop("covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for doc, text, *lists in zip(*(batch.column(k).to_pylist() for k in ("doc", "text", "keys", "spans", "runs")), strict=True):
-                values = shingles(text).astype("<u4")
+            for doc, regions, *lists in zip(*(batch.column(k).to_pylist() for k in ("doc", "regions", "keys", "spans", "runs")), strict=True):
                 for key, span, stretches in zip(*lists, strict=True):
                     low = span >> 32
-                    part = values[low : (span & 0xFFFFFFFF) + 1]
-                    if len(part) >= LEAST:  # rows with one id may have other texts
+                    part = within(low, span & 0xFFFFFFFF, regions)
+                    if part is not None:
                         for col, v in zip(rows, (key, doc, low, stretches, len(part), part), strict=True):
                             col.append(v)
             key = np.array(rows[0], np.int64)
@@ -515,55 +530,81 @@ def open_members(docs: DataFrame, windows: DataFrame, found: DataFrame, buckets:
                     col.append(v)
             yield pa.record_batch([pa.array(c, pa.binary() if k else pa.int32()) for k, c in enumerate(cols)], [x.split()[0] for x in MEMBERS.split(", ")])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").filter("doc is not null and text is not null")
-    return texts.join(members, "doc").mapInArrow(run, MEMBERS)
-
-
-def dense(has: np.ndarray, spot: np.ndarray, likely: np.ndarray, members: int, size: int) -> np.ndarray:
-    """Which of the likely members have SIMILAR of some LEAST or more shingles in a row, as any similar passage does.
-    has and spot: the members that have each of the size shingles."""
-    out = np.zeros(len(likely), bool)
-    for a in range(0, len(likely), step := max(1, (1 << 22) // size)):
-        part = likely[a : a + step]
-        row = np.full(members, -1)
-        row[part] = np.arange(len(part))
-        mine = row[has] >= 0
-        total = np.zeros((len(part), size + 1))
-        total[:, 1:] = -SIMILAR
-        total[row[has[mine]], spot[mine] + 1] = 1 - SIMILAR
-        np.cumsum(total, axis=1, out=total)
-        lowest = np.minimum.accumulate(total[:, : size + 1 - LEAST], axis=1)
-        out[a : a + step] = (total[:, LEAST:] >= lowest - 1e-6).any(axis=1)
-    return out
+    return parts.join(members, "doc").mapInArrow(run, MEMBERS)
+
+
+def possible(place: np.ndarray, plain: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Which rows may have a similar passage around a stretch that begins from first to last. place: for each other
+    interval the places of the shingles in it, -1 for none.
+
+    Such a passage has SIMILAR of its shingles in the other. Where the places rise and no shingle is repeated (plain),
+    those of the other between them that aren't shared count against it too. A passage of less than LEAST is filled up.
+    """
+    rows, size = place.shape
+    least, cost = int(np.ceil(SIMILAR * LEAST)), SIMILAR / (1 - SIMILAR)
+    ends = np.arange(min(size, max(0, first) + least - 1), size)
+    begins = np.minimum(ends - least + 1, last + LEAST - least)
+    if not len(ends) or begins[-1] < 0:
+        return np.zeros(rows, bool)
+    ends, begins = ends[begins >= 0], begins[begins >= 0]
+    has, at = place >= 0, np.arange(size, dtype=np.int32)
+    before = np.full((rows, size), -1, np.int32)
+    before[:, 1:] = np.maximum.accumulate(np.where(has, at, -1), axis=1)[:, :-1]
+    step = place - np.take_along_axis(place, np.maximum(before, 0), 1) - 1
+    begun = has & (before >= 0)
+    rising = ((step >= 0) | ~begun).all(axis=1) & plain
+    # Of the other's own shingles only the one-sided part counts where the places don't rise.
+    gain = has - cost * np.where(begun, at - before - 1 + np.where(rising[:, None], step, 0), 0)
+    total = np.cumsum(gain, axis=1)
+    lowest = np.minimum.accumulate(np.where(has, total, np.inf), axis=1)
+    return (has[:, ends] & (total[:, ends] - lowest[:, begins] + 1 >= -1e-6)).any(axis=1)
 
 
 def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: list[np.ndarray]) -> list[tuple]:
     """Passages of a group's open members: each is compared with all before it, those with most in common first, until
-    one has a stretch of its run. Members come sorted by document."""
+    one has a stretch of its run. Members come sorted by document. Those with the same interval are one: the later
+    ones have all of the first's."""
+    out, firsts, seen = [], [], {}
+    for k, p in enumerate(parts):
+        o = seen.setdefault(p.tobytes(), k)
+        if o == k:
+            firsts.append(k)
+        elif stretches[k] >= 0 and doc[o] < doc[k]:
+            out.append((int(doc[k]), int(begin[k]), int(begin[k]) + len(p) - 1 + SHINGLE, int(doc[o]), int(begin[o]), int(begin[o]) + len(p) - 1 + SHINGLE, 1.0))
+    doc, begin, stretches, parts = doc[firsts], begin[firsts], stretches[firsts], [parts[k] for k in firsts]
     size = np.array([len(p) for p in parts])
     at = np.concatenate([[0], np.cumsum(size)])
     kind = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    pair = np.unique(kind * len(parts) + np.repeat(np.arange(len(parts)), size))
+    pair, spot_of = np.unique(kind * len(parts) + np.repeat(np.arange(len(parts)), size), return_index=True)
     member, cuts = pair % len(parts), np.searchsorted(pair // len(parts), np.arange(int(kind.max()) + 2))
-    out = []
+    spot_of = (spot_of - at[member]).astype(np.int32)
+    plain = np.bincount(member, minlength=len(parts)) == size
     for k in np.flatnonzero(stretches >= 0).tolist():
         before = int(np.searchsorted(doc, doc[k]))
         if not before:
             continue
         low, n = cuts[kind[at[k] : at[k + 1]]], cuts[kind[at[k] : at[k + 1]] + 1] - cuts[kind[at[k] : at[k + 1]]]
-        has, spot = member[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)], np.repeat(np.arange(size[k]), n)
+        entry, spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n), np.repeat(np.arange(size[k]), n)
+        has = member[entry]
         same = np.bincount(has, minlength=len(parts))[:before]
         likely = np.flatnonzero(same >= SIMILAR * LEAST)
-        likely = likely[dense(has, spot, likely, len(parts), int(size[k]))]
-        first, last = int(stretches[k]) >> 32, int(stretches[k]) & 0xFFFFFFFF
-        for o in likely[np.argsort(-same[likely], kind="stable")].tolist():
-            done = False
-            for i, j, p, q, s in agreeing(parts[k], parts[o]):
-                a, b, c, d = int(begin[k]) + i, int(begin[k]) + j - 1, int(begin[o]) + p, int(begin[o]) + q - 1
-                out.append((int(doc[k]), a, b + SHINGLE, int(doc[o]), c, d + SHINGLE, s))
-                done |= max(first, a) <= min(last, b - LEAST + 1)
-            if done:
-                break
+        likely = likely[np.argsort(-same[likely], kind="stable")]
+        first, last = (int(v) - int(begin[k]) for v in (stretches[k] >> 32, stretches[k] & 0xFFFFFFFF))
+        done, a = False, 0
+        while a < len(likely) and not done:
+            block = likely[a : a + (64 if not a else max(1, (1 << 20) // int(size[k])))]
+            a += len(block)
+            row = np.full(len(parts), -1)
+            row[block] = np.arange(len(block))
+            mine = row[has] >= 0
+            place = np.full((len(block), int(size[k])), -1, np.int32)
+            place[row[has[mine]], spot[mine]] = spot_of[entry[mine]]
+            for o in block[possible(place, plain[block] & plain[k], first, last)].tolist():
+                for i, j, p, q, s in agreeing(parts[k], parts[o]):
+                    out.append((int(doc[k]), int(begin[k]) + i, int(begin[k]) + j - 1 + SHINGLE, int(doc[o]), int(begin[o]) + p, int(begin[o]) + q - 1 + SHINGLE, s))
+                    done |= max(first, i) <= min(last, j - LEAST)
+                if done:
+                    break
     return out
 
 
@@ -591,13 +632,18 @@ def settled_passages(members: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """A row for each passage of a document that an earlier one (by doc_id) has too, by words; ends are excluded."""
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    windows = staged(joined_windows(shared_windows(send_windows(docs, buckets))), "windows")
-    pairs = staged(candidates(windows), "candidates")
-    wanted = pairs.select("doc", F.explode("own").alias("span")).unionByName(pairs.select(F.col("other").alias("doc"), F.explode("theirs").alias("span")))
-    wanted = wanted.groupBy("doc").agg(F.collect_set("span").alias("spans"))
-    found = staged(verified(pairs, staged(segments(docs, wanted), "segments")), "passages")
-    return found.unionByName(staged(settled_passages(open_members(docs, windows, found, buckets)), "settled"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    chunked = staged(chunks(given, F.lit(False)), "passage-chunks").select("chunk", "n_tokens", "doc_ids", "lengths", "words", "tokens")
+    words = chunked.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
+    told = staged(answer(ask(chunked, buckets)), "shared")
+    made = staged(windows_and_regions(chunked, told, buckets), "windows")
+    windows = made.filter("key is not null").select("doc", "key", "span", "run")
+    parts = made.filter("values is not null").groupBy("doc").agg(F.collect_list(F.struct("begin", "values")).alias("regions"))
+    groups = staged(groups_of(windows), "groups")
+    pairs = staged(candidates(windows, groups), "candidates")
+    found = staged(verified(pairs, parts), "passages")
+    return found.unionByName(staged(settled_passages(open_members(parts, windows, groups, found, buckets)), "settled"))
 
 
 def merged_passages(found: DataFrame) -> DataFrame:
