@@ -18,22 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is set, as in tests."""
+    """The folder that driver and executors share. A local one is made only where none is set and all tasks run on this
+    machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Turns on, for the session, that a query's shuffle files go when it has ended, not when the driver happens to
+    collect its garbage. What a later step needs is in a table by then."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
+    free_shuffles(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the tables in the shared folder that df reads; for those that nothing needs any more."""
+    spark = df.sparkSession
+    base = shared_dir(spark).removeprefix("file:").lstrip("/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if base in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parts_for(df: DataFrame) -> int:
     """Shuffle partitions that grow with the input: as many as it is read in, and no fewer than the session's setting."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
@@ -70,3 +90,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             end = max(at + 1, int(np.searchsorted(size, done + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def portions(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of about `most` bytes, by their rows' average size."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

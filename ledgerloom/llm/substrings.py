@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.base import slices, staged, table
+from ledgerloom.llm.base import discard, portions, slices, staged, table
 from ledgerloom.llm.chunks import chunks, packed, unpacked
 
 SHINGLE = 5
@@ -40,8 +40,8 @@ SIMILAR = 0.8
 HASHES = 8
 #: Words for each bucket, about.
 BUCKET_WORDS = 2_000_000
-#: Bits of a hash that chunks ask about.
-ASKED_BITS = 48
+#: Chunks ask about so many bits of a hash more than number the words: one hash in 4,096 is taken for shared by chance.
+MORE_BITS = 12
 #: Shingles whose windows are found together, so that the arrays stay in a core's cache.
 TOGETHER = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,7 +136,8 @@ class Shingled:
     """A chunk's shingles: their values, document (by its place in the chunk) and place; short documents and those
     without an id are left out."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, bits: int) -> None:
+        self.bits = bits
         lengths, words, tokens = (unpacked(row[k]) for k in ("lengths", "words", "tokens"))
         ends = np.cumsum(lengths.astype(np.int64)) - 1  # the end token isn't a word
         starts = ends + 1 - lengths
@@ -147,7 +148,7 @@ class Shingled:
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)
         self.values = shingle_hashes(words[tokens])[starts[self.doc] + self.place] if len(self.doc) else np.zeros(0, np.uint64)
         self.ids = np.array([0 if d is None else d for d in row["doc_ids"]], np.int64)
-        key = self.values >> np.uint64(64 - ASKED_BITS)
+        key = self.values >> np.uint64(64 - bits)
         self.order = np.argsort(key, kind="stable")
         key = key[self.order]
         self.new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -158,7 +159,7 @@ class Shingled:
 
     def cuts(self, buckets: int) -> np.ndarray:
         """Where each bucket's keys begin; a bucket is a range of keys."""
-        edges = [-(-(b << ASKED_BITS) // buckets) for b in range(buckets)]
+        edges = [-(-(b << self.bits) // buckets) for b in range(buckets)]
         return np.append(np.searchsorted(self.keys, np.array(edges, np.uint64)), len(self.keys))
 
 
@@ -166,13 +167,13 @@ SENT = "bucket int, chunk long, keys binary, several binary"
 TOLD = "chunk long, bucket int, shared binary"
 
 
-def ask(chunked: DataFrame, buckets: int) -> DataFrame:
+def ask(chunked: DataFrame, buckets: int, bits: int) -> DataFrame:
     """A message for each chunk and bucket: the different keys, as differences, and which the chunk has in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                x = Shingled(row)
+                x = Shingled(row, bits)
                 cuts = x.cuts(buckets)
                 parts = [(b, slice(cuts[b], cuts[b + 1])) for b in np.flatnonzero(np.diff(cuts)).tolist()]
                 keys, several = ([f(p) for _, p in parts] for f in (lambda p: packed(np.diff(x.keys[p], prepend=np.uint64(0))), lambda p: packed(np.packbits(x.several[p]))))
@@ -275,17 +276,17 @@ def one_for_each_key(key: np.ndarray, part: np.ndarray, low: np.ndarray, high: n
 REGIONS = "doc long, key long, span long, run long, begin int, values binary"
 
 
-def windows_and_regions(chunked: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+def windows_and_regions(chunked: DataFrame, told: DataFrame, buckets: int, bits: int) -> DataFrame:
     """Rows (doc, key, span, run) of windows, and rows (doc, begin, values) of the regions that they are in."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in REGIONS.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        x = Shingled(left.to_pylist()[0])
+        x = Shingled(left.to_pylist()[0], bits)
         cuts = x.cuts(buckets)
         shared = np.zeros(len(x.keys), bool)
-        for b, bits in zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist(), strict=True):
-            shared[cuts[b] : cuts[b + 1]] = np.unpackbits(unpacked(bits), count=cuts[b + 1] - cuts[b])
+        for b, flags in zip(right.column("bucket").to_pylist(), right.column("shared").to_pylist(), strict=True):
+            shared[cuts[b] : cuts[b + 1]] = np.unpackbits(unpacked(flags), count=cuts[b + 1] - cuts[b])
         if not shared.any():
             return pa.table([pa.nulls(0, t) for t in kinds], names)
         weight = np.empty(len(x.values), np.int64)
@@ -333,12 +334,15 @@ def _spans(column: pa.ListArray) -> list[np.ndarray]:
     return [merged(both[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _places(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A place in y for each shingle of x, -1 for none. Of several, the one that goes on from a neighbour's, or else the
-    first of those that agree furthest, up to LEAST."""
-    order = np.argsort(y, kind="stable")
-    low, high = np.searchsorted(y[order], x), np.searchsorted(y[order], x, "right")
-    place = np.where(high > low, order[np.minimum(low, len(y) - 1)], -1)
+def _places(x: np.ndarray, y: np.ndarray, order: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """A place in y (ranked = y[order], ascending) for each shingle of x, -1 for none. Of several, the one that goes on
+    from a neighbour's, or else the first of those that agree furthest, up to LEAST."""
+    low = np.searchsorted(ranked, x)
+    there = np.minimum(low, len(y) - 1)
+    place = np.where(ranked[there] == x, order[there], -1)
+    if not (ranked[1:] == ranked[:-1]).any():
+        return place
+    high = np.searchsorted(ranked, x, "right")
     several = np.flatnonzero(high > low + 1)
     if not len(several):
         return place
@@ -373,7 +377,12 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
     """
     if min(len(x), len(y)) < least:
         return []
-    place = _places(x, y)
+    if len(x) == len(y) and np.array_equal(x, y):
+        return [(0, len(x), 0, len(y), 1.0)]
+    order = np.argsort(y, kind="stable")
+    ranked, own = y[order], np.sort(x)
+    plain = not (ranked[1:] == ranked[:-1]).any() and not (own[1:] == own[:-1]).any()
+    place = _places(x, y, order, ranked)
     hit = np.flatnonzero(place >= 0)
     if len(hit) < similar * least:
         return []
@@ -384,8 +393,8 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
     gain = (1 + cost) * total[1:] - cost * (begin + size)
     reach, level = np.maximum.accumulate(gain[::-1])[::-1].tolist(), ((1 + cost) * total[:-1] - cost * begin - 1e-6).tolist()
     #: Distinct shingles before each place.
-    kinds = []
-    for v in (x, y):
+    kinds = [range(len(x) + 1), range(len(y) + 1)] if plain else []
+    for v in () if plain else (x, y):
         first = np.zeros(len(v) + 1, np.int64)
         first[np.unique(v, return_index=True)[1] + 1] = 1
         kinds.append(np.cumsum(first).tolist())
@@ -432,9 +441,12 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
             found = sorted(tried(f, g, every), reverse=True)
             for _, u, v, low, high in found:
                 (i, j), (p, q) = filled(starts[u], ends[v], len(x)), filled(low, high, len(y))
-                left, right = np.unique(x[i:j]), np.unique(y[p:q])
-                both = len(np.intersect1d(left, right, True))
-                s = both / (len(left) + len(right) - both)
+                if plain:
+                    left, right, both = j - i, q - p, int(np.count_nonzero((place[i:j] >= p) & (place[i:j] < q)))
+                else:
+                    left, right = len(of_i := np.unique(x[i:j])), len(of_p := np.unique(y[p:q]))
+                    both = len(np.intersect1d(of_i, of_p, True))
+                s = both / (left + right - both)
                 if s >= similar:
                     out.append((i, j, p, q, s))
                     todo += [(f, u), (v + 1, g)]
@@ -451,9 +463,8 @@ def groups_of(windows: DataFrame) -> DataFrame:
     return windows.groupBy("key").agg(F.min(F.struct("doc", "span")).alias("_f"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("_f.doc").alias("other"), F.col("_f.span").alias("theirs"), "n")
 
 
-def candidates(windows: DataFrame, groups: DataFrame) -> DataFrame:
+def candidates(beside: DataFrame) -> DataFrame:
     """(doc, other, own, theirs): documents beside their groups' least ones, with intervals of both."""
-    beside = windows.join(groups, "key").filter("doc > other")
     return beside.groupBy("doc", "other").agg(F.collect_set("span").alias("own"), F.collect_set("theirs").alias("theirs"))
 
 
@@ -477,7 +488,7 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
         return [(a, v) for a, v in found if v is not None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             rows = []
             columns = [_spans(batch.column(k)) for k in ("own", "theirs")] + [batch.column(k).to_pylist() for k in ("doc", "other", "regions", "regions2")]
             for own, theirs, doc, other, regions, regions2 in zip(*columns, strict=True):
@@ -498,20 +509,19 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 MEMBERS = "bucket int, keys binary, docs binary, begins binary, runs binary, sizes binary, values binary"
 
 
-def open_members(parts: DataFrame, windows: DataFrame, groups: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+def open_members(parts: DataFrame, windows: DataFrame, beside: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     """Messages with the groups that have open members: those with no found passage around a stretch of their run. For
     each member of them up to the last open one: key, document, begin of the interval, run (-1 if it isn't open), and
     the interval's shingles."""
     covered = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.expr(f"cast(start_word as long) << 32 | (end_word - {SHINGLE})")).alias("covered"))
     is_open = f"not coalesce(exists(covered, c -> greatest(run >> 32, c >> 32) + {LEAST - 1} <= least((run & 4294967295) + {LEAST - 1}, c & 4294967295)), false)"
     # A group of two windows has been compared.
-    later = windows.join(groups.filter("n > 2"), "key").filter("doc > other").select("key", "doc", "run")
-    last = later.join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
+    last = beside.filter("n > 2").select("key", "doc", "run").join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
     members = windows.join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
     members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))")).drop("covered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 4 << 20):
             rows: list[list] = [[] for _ in range(6)]
             for doc, regions, *lists in zip(*(batch.column(k).to_pylist() for k in ("doc", "regions", "keys", "spans", "runs")), strict=True):
                 for key, span, stretches in zip(*lists, strict=True):
@@ -636,14 +646,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     chunked = staged(chunks(given, F.lit(False)), "passage-chunks").select("chunk", "n_tokens", "doc_ids", "lengths", "words", "tokens")
     words = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
-    told = staged(answer(ask(chunked, buckets)), "shared")
-    made = staged(windows_and_regions(chunked, told, buckets), "windows")
+    bits = min(64, max(16, words.bit_length() + MORE_BITS))
+    told = staged(answer(ask(chunked, buckets, bits)), "shared")
+    made = staged(windows_and_regions(chunked, told, buckets, bits), "windows")
+    discard(chunked)
     windows = made.filter("key is not null").select("doc", "key", "span", "run")
     parts = made.filter("values is not null").groupBy("doc").agg(F.collect_list(F.struct("begin", "values")).alias("regions"))
-    groups = staged(groups_of(windows), "groups")
-    pairs = staged(candidates(windows, groups), "candidates")
-    found = staged(verified(pairs, parts), "passages")
-    return found.unionByName(staged(settled_passages(open_members(parts, windows, groups, found, buckets)), "settled"))
+    beside = staged(windows.join(groups_of(windows), "key").filter("doc > other"), "beside")
+    found = staged(verified(staged(candidates(beside), "candidates"), parts), "passages")
+    settled_ones = staged(settled_passages(open_members(parts, windows, beside, found, buckets)), "settled")
+    discard(made)
+    discard(beside)
+    return found.unionByName(settled_ones)
 
 
 def merged_passages(found: DataFrame) -> DataFrame:
