@@ -18,6 +18,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from ledgerloom.llm.base import slices, table, texts
 PATH_SIZE, WORD_SIZE, SIZES = 64, 24, 6
 INPUT = PATH_SIZE + WORD_SIZE + SIZES
 HIDDEN = 20
-MADE_PAGES, EPOCHS, BATCH, RATE, SEED = 900, 7, 30, 0.01, 11
+MADE_PAGES, EPOCHS, BATCH, RATE, SEED = 1800, 10, 30, 0.01, 11
 #: Pages that are labelled together.
 PAGES_AT_ONCE = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,11 +44,51 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _PART = re.compile(r"[a-z]+")
 
 
+class Node:
+    """A place in the tree of tag paths that pages share: an open element's labels below its parent's. So a path costs
+    the same at any depth, and its vector is made once."""
+
+    __slots__ = ("parent", "labels", "size", "below", "vector")
+
+    def __init__(self, parent: Node | None, labels: tuple[str, ...]) -> None:
+        self.parent, self.labels, self.size = parent, labels, len(labels) + (parent.size if parent else 0)
+        self.below: dict[tuple[str, ...], Node] = {}
+        self.vector: np.ndarray | None = None
+
+
+class Paths:
+    """Grows with the pages; starts afresh when it has many nodes."""
+
+    MOST = 50_000
+
+    def __init__(self) -> None:
+        self.root, self.made = Node(None, ()), 0
+
+    def child(self, node: Node, labels: tuple[str, ...]) -> Node:
+        if (found := node.below.get(labels)) is None:
+            found = node.below[labels] = Node(node, labels)
+            self.made += 1
+        return found
+
+    def start(self) -> Node:
+        if self.made > self.MOST:
+            self.__init__()
+        return self.root
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("node", "text", "linked")
+
+    def __init__(self, node: Node, text: str, linked: int) -> None:
+        self.node, self.text, self.linked = node, text, linked
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int) -> None:
-        self.path, self.text, self.linked = path, text, linked
+    @property
+    def path(self) -> tuple[str, ...]:
+        parts, node = [], self.node
+        while node is not None:
+            parts.append(node.labels)
+            node = node.parent
+        return tuple(x for labels in reversed(parts) for x in labels)
 
 
 def _labels(name: str, rest: str) -> tuple[str, ...]:
@@ -57,21 +98,30 @@ def _labels(name: str, rest: str) -> tuple[str, ...]:
     return (name, *("." + p for p in found))
 
 
-def blocks(page: str) -> list[Block]:
+def _is_closed(rest: str) -> bool:
+    """Whether a tag closes itself; the slash may also end an attribute's value."""
+    rest = rest.rstrip()
+    return rest[-1:] == "/" and (len(rest) == 1 or rest[-2].isspace() or rest[-2] in "\"'")
+
+
+def blocks(page: str, paths: Paths | None = None) -> list[Block]:
     """The page's leaf blocks in order, with white space turned into single spaces."""
+    paths = paths or Paths()
+    root = paths.start()
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Node]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     in_link = in_head = 0
-    path: tuple[str, ...] | None = None
+    path: Node | None = None
 
     def add(text: str) -> None:
         nonlocal path, linked
         if not text or in_head:
             return
         if path is None and not text.isspace():
-            path = tuple(label for _, labels in stack for label in labels)
+            path = stack[-1][1] if stack else root
         parts.append(text)
         if in_link:
             linked += len(text.strip())
@@ -82,13 +132,14 @@ def blocks(page: str) -> list[Block]:
             text = "".join(parts)
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
             if text:
-                out.append(Block(path or (), text, linked))
+                out.append(Block(path or root, text, linked))
             parts.clear()
         path, linked = None, 0
 
     def close(at: int) -> None:
         nonlocal in_link, in_head
         for name, _ in stack[at:]:
+            opened[name] -= 1
             in_link -= name == "a"
             in_head -= name == "head"
         del stack[at:]
@@ -107,6 +158,8 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if m["end"]:
+            if not opened[name]:
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     close(k)
@@ -118,14 +171,15 @@ def blocks(page: str) -> list[Block]:
             close(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
         if name not in INLINE:
             ends = ENDS.get(name, ("p",))
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[e] for e in ends) else ():
                 if stack[k][0] in ends:
                     close(k)
                     break
                 if stack[k][0] in CONTAINERS:
                     break
-        if name not in VOID and not (m["rest"] or "").rstrip().endswith("/"):
-            stack.append((name, _labels(name, m["rest"] or "")))
+        if name not in VOID and not _is_closed(m["rest"] or ""):
+            stack.append((name, paths.child(stack[-1][1] if stack else root, _labels(name, m["rest"] or ""))))
+            opened[name] += 1
             in_link += name == "a"
             in_head += name == "head"
     add(page[at:])
@@ -134,24 +188,37 @@ def blocks(page: str) -> list[Block]:
 
 
 class Features:
-    """Vectors of blocks; paths and words are hashed once in each worker."""
+    """Vectors of blocks; paths, labels and words are hashed once in each worker."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
+        self.paths = Paths()
+        self.labels: dict[str, tuple[int, int, int, int]] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, labels: tuple[str, ...]) -> np.ndarray:
-        if (v := self.paths.get(labels)) is None:
-            v = np.zeros(PATH_SIZE, np.float32)
-            for x in labels:
-                h = zlib.crc32(x.encode())
-                v[h % PATH_SIZE] += 1 if h >> 16 & 1 else -1
-                h = zlib.crc32(b"2" + x.encode())
-                v[h % PATH_SIZE] += 1 if h >> 16 & 1 else -1
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            self.paths[labels] = v = np.clip(v, -2, 2)
-        return v
+    def label(self, x: str) -> tuple[int, int, int, int]:
+        if (found := self.labels.get(x)) is None:
+            if len(self.labels) > 200_000:
+                self.labels.clear()
+            a, b = zlib.crc32(x.encode()), zlib.crc32(b"2" + x.encode())
+            found = self.labels[x] = (a % PATH_SIZE, 1 if a >> 16 & 1 else -1, b % PATH_SIZE, 1 if b >> 16 & 1 else -1)
+        return found
+
+    def path(self, node: Node) -> np.ndarray:
+        """The sum of the labels' vectors from the root on."""
+        todo = []
+        while node.vector is None:
+            todo.append(node)
+            if node.parent is None:
+                break
+            node = node.parent
+        for n in reversed(todo):
+            v = np.zeros(PATH_SIZE, np.float32) if n.parent is None else n.parent.vector.copy()
+            for x in n.labels:
+                a, s, b, t = self.label(x)
+                v[a] += s
+                v[b] += t
+            n.vector = v
+        return todo[0].vector if todo else node.vector
 
     def word_vector(self, words: list[str]) -> np.ndarray:
         known = self.words
@@ -169,10 +236,11 @@ class Features:
         out = np.zeros((len(page), INPUT), np.float32)
         for i, b in enumerate(page):
             words = b.text.split(" ")
-            out[i, :PATH_SIZE] = self.path(b.path)
+            out[i, :PATH_SIZE] = self.path(b.node)
             out[i, PATH_SIZE : PATH_SIZE + WORD_SIZE] = self.word_vector(words)
             size = np.log1p(len(words))
-            out[i, PATH_SIZE + WORD_SIZE :] = (size / 3, min(1, b.linked / len(b.text)), b.text[-1] in ".!?…", i == 0, i + 1 == len(page), len(b.path) / 10)
+            out[i, PATH_SIZE + WORD_SIZE :] = (size / 3, min(1, b.linked / len(b.text)), b.text[-1] in ".!?…", i == 0, i + 1 == len(page), min(b.node.size, 60) / 10)
+        np.clip(out[:, :PATH_SIZE], -2, 2, out=out[:, :PATH_SIZE])
         return out
 
 
@@ -280,10 +348,12 @@ class Maker:
     ADS = ('div class="ad"', 'div class="ad"', 'div class="ads"', 'div class="advert"', 'aside class="promo"', 'div id="banner"', 'div class="sponsored"', 'section class="advertisement"')
     NOTICES = ('div class="cookie"', 'div class="cookie-banner"', 'div class="notice"', 'div id="consent"', 'div class="alert"', 'div role="dialog"', 'div class="newsletter popup"', 'div role="alert"')
     SIDES = ("aside", "aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="related"', 'aside class="widget"', 'div class="share social"', 'section class="related-posts"', 'div role="complementary"')
-    COMMENTS = ('section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="reader-comments"', 'section id="discussion" class="replies"')
+    COMMENTS = ('section class="responses"', 'div class="reactions"', 'section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="comments"', 'div class="reader-comments"', 'section id="discussion" class="replies"')
 
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
+        #: Whether the page's elements and class names don't tell what they hold.
+        self.vague = False
         self.syllables = ["".join(self.r.choices("bcdfghklmnprstvwz", k=self.r.choice((0, 1, 2)))) + self.r.choice("aeiouéäñ") + self.r.choice(("", "n", "r", "s", "t")) for _ in range(120)]
 
     def words(self, n: int) -> str:
@@ -293,7 +363,12 @@ class Maker:
             out[i - 1] += "." if i else ""
         return " ".join(out) + self.r.choice((".", ".", ".", ""))
 
+    #: Class names of a page's own that may stand for anything; most tell nothing.
+    PLAIN = ("hd", "bd", "ft", "links", "single", "recent", "bottom", "top", "left", "right", "box", "row", "col", "inner", "outer", "block", "section", "item", "x", "wrap", "c")
+
     def within(self, tag: str, inside: str) -> str:
+        if self.vague and tag != "body" and not tag.startswith(("form", "ul", "ol")):
+            tag = f'div class="{self.r.choice(self.PLAIN)}{self.r.choice(("", "", str(self.r.randint(1, 9))))}"' if self.r.random() < 0.8 else "div"
         return f"<{tag}>{inside}" + ("" if self.r.random() < 0.03 else f"</{tag.split()[0]}>")
 
     def text(self, mark: str, low: int, high: int) -> str:
@@ -302,14 +377,18 @@ class Maker:
     def items(self, mark: str, link: float) -> str:
         made = [self.text(mark, 1, 4) for _ in range(self.r.randint(2, 8))]
         made = [f'<a href="/{k}">{x}</a>' if self.r.random() < link else x for k, x in enumerate(made)]
-        kind = self.r.choice(("ul", "ul", "ol", ""))
+        kind = self.r.choice(("ul", "ul", "ol", "", "line"))
+        if kind == "line":  # one block
+            return mark + " " + self.r.choice((" ", " | ", " · ")).join(x.replace(mark + " ", "") for x in made)
         return f"<{kind}>" + "".join(f"<li>{x}</li>" for x in made) + f"</{kind}>" if kind else "".join(f"<div>{x}</div>" for x in made)
 
     def rest(self, kinds: tuple[str, ...], prose: float = 0.5, name: str = "") -> str:
         tag = self.r.choice(kinds)
         if tag.startswith(("ul", "ol")):
             return self.within(tag, "".join(f"<li>{self.text('B', 1, 30)}</li>" for _ in range(self.r.randint(1, 5))))
-        if self.r.random() < prose:
+        if kinds == self.HEADERS and self.r.random() < 0.4:
+            inner = "<{0}>{1}</{0}>".format(self.r.choice(("h1", "h1", "h2", "p")), self.text("B", 1, 5)) + (self.items("B", 0.9) if self.r.random() < 0.3 else "")
+        elif self.r.random() < prose:
             inner = "".join(self.r.choice(("<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>", "{}")).format(self.text("B", 2, 40)) for _ in range(self.r.choice((1, 1, 2, 4))))
         else:
             inner = self.items("B", 0.8)
@@ -333,6 +412,7 @@ class Maker:
 
     def page(self) -> tuple[list[Block], np.ndarray]:
         r = self.r
+        self.vague = r.random() < 0.35
         before = [f for p, f in ((0.4, lambda: self.rest(self.HEADERS)), (0.75, lambda: self.rest(self.MENUS, 0.1)), (0.25, lambda: self.rest(self.NOTICES, 0.9)), (0.5, lambda: self.rest(self.ADS, 0.8)), (0.1, self.form), (0.2, lambda: self.rest(self.SIDES))) if r.random() < p]
         after = [f for p, f in ((0.35, lambda: self.rest(self.SIDES)), (0.25, lambda: self.rest(self.COMMENTS, 0.9)), (0.2, lambda: self.rest(self.ADS, 0.8)), (0.15, self.form), (0.1, lambda: self.rest(self.NOTICES, 0.9)), (0.1, lambda: self.rest(self.MENUS, 0.1))) if r.random() < p]
         r.shuffle(before)
@@ -350,7 +430,7 @@ class Maker:
         marks = np.array([b.text[:1] == "M" for b in found], bool)
         for b in found:
             b.text = b.text[2:] if len(b.text) > 2 else "."
-            if b.path and b.path[-1] == "footer" and self.r.random() < 0.6:
+            if b.node.labels[-1:] == ("footer",) and self.r.random() < 0.6:
                 b.text = "© " + b.text
         return found, marks
 
@@ -386,7 +466,7 @@ def extract(pages: DataFrame, net: Labeller) -> DataFrame:
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in slices(batches, "html", 4 << 20):
-            found = [blocks(x) for x in texts(batch, "html")]
+            found = [blocks(x, features.paths) for x in texts(batch, "html")]
             labels = net.label([features.of(x) for x in found])
             out = ["\n".join(b.text for b, keep in zip(page, label.tolist(), strict=True) if keep) for page, label in zip(found, labels, strict=True)]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
