@@ -29,11 +29,11 @@ from ledgerloom.llm.base import staged, table
 
 NEIGHBOURS = 20
 QUERY_EVERY = 20
-PROJECTIONS = 8
-SURE = 0.96
+PROJECTIONS = 16
+SURE = 0.92
 SEED = 5
 #: Rows that the upper tree is fitted on; rows of a block of a cell and of its queries; points of a leaf.
-SAMPLE, CELL, QUERY_BLOCK, LEAF = 20_000, 8192, 4096, 64
+SAMPLE, CELL, QUERY_BLOCK, LEAF = 100_000, 8192, 4096, 256
 #: The upper tree has so many sampled rows in a cell at least.
 SAMPLED_IN_CELL = 32
 
@@ -103,12 +103,17 @@ def leaves(points: np.ndarray, most: int = LEAF) -> list[np.ndarray]:
     return out
 
 
-def search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int, longest2: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and row numbers (query, k) of the best found, -inf and -1 for none. bound: a score that k others have."""
+def search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp: np.ndarray, k: int, longest2: float, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Scores and row numbers (query, k) of the best found, -inf and -1 for none, and how many pairs were verified.
+    bound: a score that k others have.
+
+    Leaves come in the order of their projected distance; of a leaf's vectors, those are verified whose own projected
+    distance passes the test.
+    """
     tree = leaves(xp)
     low, high = (np.stack([f(xp[t], axis=0) for t in tree]) for f in (np.min, np.max))
-    best, found = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
-    norm2 = np.einsum("ij,ij->i", q, q)
+    best, found, verified = np.full((len(q), k), -np.inf), np.full((len(q), k), -1), 0
+    norm2, qp2, xp2 = (np.einsum("ij,ij->i", v, v) for v in (q, qp, xp))
     for a in range(0, len(q), 512):
         b = min(len(q), a + 512)
         p = qp[a:b, None, :]
@@ -118,15 +123,22 @@ def search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
         for r in range(len(tree)):
             leaf = order[active, r]
             worst = np.maximum(best[a + active].min(axis=1), bound[a + active])
-            radius2 = np.where(np.isfinite(worst), factor * np.maximum(0, norm2[a + active] + longest2 - 2 * worst), np.inf)
-            go = far[active, leaf] <= radius2 * (1 + 1e-9) + 1e-12
-            active, leaf = active[go], leaf[go]
+            radius2 = np.where(np.isfinite(worst), factor * np.maximum(0, norm2[a + active] + longest2 - 2 * worst), np.inf) * (1 + 1e-9) + 1e-12
+            go = far[active, leaf] <= radius2
+            active, leaf, radius2 = active[go], leaf[go], radius2[go]
             if not len(active):
                 break
             turn = np.argsort(leaf, kind="stable")
             for part in np.split(turn, np.flatnonzero(np.diff(leaf[turn])) + 1):
                 rows, points = a + active[part], tree[leaf[part[0]]]
-                s = q[rows] @ x[points].T
+                near = qp2[rows, None] + xp2[points] - 2 * (qp[rows] @ xp[points].T) <= radius2[part, None]
+                row, col = np.nonzero(near)
+                verified += len(row)
+                s = np.full(near.shape, -np.inf)
+                if 4 * len(row) > near.size:
+                    s[near] = (q[rows] @ x[points].T)[near]
+                elif len(row):
+                    s[row, col] = np.einsum("ij,ij->i", q[rows[row]], x[points[col]])
                 hit = (s > best[rows].min(axis=1)[:, None]).any(axis=1)
                 rows, s = rows[hit], s[hit]
                 if len(rows):
@@ -134,7 +146,8 @@ def search(q: np.ndarray, qp: np.ndarray, bound: np.ndarray, x: np.ndarray, xp:
                     at = np.argpartition(-both, k - 1, axis=1)[:, :k]
                     names = np.concatenate([found[rows], np.broadcast_to(points, s.shape)], axis=1)
                     best[rows], found[rows] = np.take_along_axis(both, at, 1), np.take_along_axis(names, at, 1)
-    return best, found
+    found[np.isneginf(best)] = -1
+    return best, found, verified
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -192,14 +205,27 @@ class Index:
         self.count, self.longest2 = n, longest2 or 0.0
         self.matrix = projection(self.size)
         part = min(1.0, sample / max(1, n))
-        picked = self.different.filter(F.pmod(F.xxhash64(F.lit("cells"), "vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * sample).select("v").toArrow()
-        points = project(_matrix(picked.column("v"), size), self.longest2, self.matrix, False) if picked.num_rows else np.zeros((0, PROJECTIONS))
+        picked = self.different.filter(F.pmod(F.xxhash64(F.lit("cells"), "vec_id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * sample).select("v")
+        points = self._points(picked)
         depth = max(0, min(math.ceil(math.log2(max(1, n / cell))), int(math.log2(max(1, len(points) / SAMPLED_IN_CELL)))))
         self.splits = Splits(points, depth)
         self.indexed = staged(self._project(self.different.select("vec_id", "same", "v"), False), "indexed")
         boxes = self.indexed.groupBy("cell").agg(F.count("*").alias("n"), *(f(F.col("p")[i]).alias(f"{name}{i}") for i in range(PROJECTIONS) for name, f in (("lo", F.min), ("hi", F.max)))).collect()  # cells: fewer than sampled rows
         self.boxes = {r["cell"]: (r["n"], [r[f"lo{i}"] for i in range(PROJECTIONS)], [r[f"hi{i}"] for i in range(PROJECTIONS)]) for r in boxes}
 
+    def _points(self, picked: DataFrame) -> np.ndarray:
+        """Projections of a bounded sample."""
+        size, longest2, matrix = self.size, self.longest2, self.matrix
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    p = project(_matrix(batch.column("v"), size), longest2, matrix, False)
+                    yield pa.record_batch([pa.array([x.tobytes() for x in p], pa.binary())], ["p"])
+
+        found = picked.mapInArrow(run, "p binary").toArrow().column("p").to_pylist()
+        return np.frombuffer(b"".join(found), np.float64).reshape(-1, PROJECTIONS)
+
     def _project(self, df: DataFrame, query: bool) -> DataFrame:
         size, longest2, matrix, splits = self.size, self.longest2, self.matrix, self.splits
 
@@ -233,7 +259,7 @@ class Index:
             ids = right.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, xv, xp = ids[order], xv[order], xp[order]
-            _, found = search(qv, qp, left.column("bound").to_numpy(), xv, xp, k, longest2, factor)
+            _, found, _ = search(qv, qp, left.column("bound").to_numpy(), xv, xp, k, longest2, factor)
             row, col = np.nonzero(found >= 0)
             x = found[row, col]
             exact = np.einsum("ij,ij->i", qv[row], xv[x])
