@@ -1,7 +1,7 @@
 """Documents to packed token sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last keep the columns of documents. A stage
-works on all rows that its predecessor kept. Rows with one doc_id are one document from the second stage on.
+works on all rows that its predecessor kept. Rows with one doc_id and one text are one document from the second stage on.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the least id."""
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: the one with the least id, of several with that id the one with the least hash of
+    its text. Documents without an id come last and are told apart by their texts."""
+    found = simhash.labelled(docs)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("f")).select(F.col("f.doc_id").alias("_doc"), F.col("f.same").alias("_text"))
+    rows = docs.withColumn("_ledgerloom_text", F.xxhash64("text"))
+    kept = rows.join(first, (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))) & (F.col("_ledgerloom_text") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_ledgerloom_text"]).drop("_ledgerloom_text")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,14 +61,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, same, fp) with the fingerprint as a signed long; same is a hash of the text."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("same"), pa.array(fps.view(np.int64))], ["doc_id", "same", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("same"), "text").mapInArrow(make, "doc_id long, same long, fp long")
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -258,16 +258,22 @@ def links(prints: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFram
     return out
 
 
-def near_duplicates(docs: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row."""
+def labelled(docs: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, same, fp, component_id, root) of each row: same is a hash of its text; root is its component's least
+    fingerprint, which tells components without ids apart."""
     prints = staged(fingerprints(docs), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = components(links(classes.select("fp"), node, stride))
     joined = classes.join(found.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = staged(joined.join(least, "root").select("fp", "component_id"), "linked")
-    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = staged(joined.join(least, "root").select("fp", "component_id", "root"), "linked")
+    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(of_class, "fp")
+
+
+def near_duplicates(docs: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row."""
+    return labelled(docs, node, stride).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

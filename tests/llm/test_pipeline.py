@@ -37,6 +37,20 @@ def test_odd_rows(spark, docs):
     for rows in (ODD, []):
         now = docs(rows)
         for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, "").cache()
-            now.count()
+            before, now = now, stage(spark, now, "").cache()
+            if stage is corpus_pipeline.language_id:
+                assert {r["text"] for r in now.collect()} <= {r["text"] for r in before.collect()}
+            elif stage is corpus_pipeline.simhash_near_dedup:  # whatever is left of its texts, each is there once
+                assert Counter((r["doc_id"], r["text"]) for r in now.collect()) == Counter({(r["doc_id"], r["text"]) for r in now.collect()})
+            elif stage is corpus_pipeline.best_fit_packing:
+                assert {r["doc_id"] for r in now.collect()} == {r["doc_id"] for r in before.collect()}
     assert substrings.remove_repeats(docs(ODD)).count() == len(ODD)
+
+
+def test_null_and_shared_ids_stay_apart(spark, docs):
+    texts = [f"{w} is the first word of a text that says {w} and then some more about {w} and what {w} did {w} last year" for w in ("alpha", "bravo", "delta", "gamma", "omega", "sigma", "kappa")]
+    ids = [None, None, None, None, None, 7, 7]
+    rows = [*zip(ids, texts, strict=True), (None, texts[0]), (7, texts[5]), (9, texts[6])]
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs(rows), "").collect()
+    assert sorted(r["text"] for r in kept) == sorted(texts) and Counter(r["doc_id"] for r in kept) == Counter(ids)
+    assert substrings.remove_repeats(docs(rows)).count() == len(rows)
