@@ -8,6 +8,10 @@ from collections.abc import Iterator
 
 BRANDS = {b"heic": "HEIF", b"heix": "HEIF", b"mif1": "HEIF", b"msf1": "HEIF", b"hevc": "HEIF", b"avif": "AVIF", b"avis": "AVIF"}
 
+#: The first bytes of ASF files, and boxes that movies from before file types begin with.
+ASF = bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c")
+OLD_MOVIE = (b"moov", b"mdat", b"wide", b"free", b"skip", b"pnot")
+
 
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
     """(kind, start, end) of the bodies of ISO media boxes; ends at the first that doesn't fit."""
@@ -38,6 +42,10 @@ def signature_format(data: bytes) -> str:
         return "WEBP"
     if data[4:8] == b"ftyp":
         return BRANDS.get(data[8:12], "VIDEO")
+    if data[:4] in (b"\x00\x00\x01\xba", b"\x00\x00\x01\xb3") or data[:16] == ASF or data[4:8] in OLD_MOVIE:
+        return "VIDEO"
+    if any(len(data) > at + 188 and data[at] == data[at + size] == 0x47 for at, size in ((0, 188), (4, 192))):
+        return "VIDEO"
     if data[:4] == b"\x1a\x45\xdf\xa3" or data[:4] == b"RIFF" and data[8:12] == b"AVI ":
         return "VIDEO"
     return "UNKNOWN"

@@ -31,12 +31,14 @@ def storage_independence(copies: DataFrame) -> DataFrame:
     return pairs.select("copy_id_a", "copy_id_b", F.when(same, "not_independent").when(known, "independent").otherwise("not_proven").alias("verdict"))
 
 
-def readiness(df: DataFrame, key: list[str], gates: dict[str, Column]) -> DataFrame:
+def readiness(df: DataFrame, key: list[str], gates: dict[str, Column], complete: Column | None = None, others: tuple[Column, ...] = ()) -> DataFrame:
     """A row for each key: whether each gate holds for all of its rows, whether all do, and those that block.
 
-    Unknown is not passed, and no rows are not passed.
+    Unknown is not passed, and no rows are not passed. `complete` (a migration's end) is told beside it and neither
+    makes ready nor blocks. others: more aggregates of the same pass.
     """
-    out = df.groupBy(*key).agg(F.count("*").alias("n"), *(all_hold(c).alias(g) for g, c in gates.items()))
+    done = () if complete is None else (all_hold(complete).alias("complete"),)
+    out = df.groupBy(*key).agg(F.count("*").alias("n"), *(all_hold(c).alias(g) for g, c in gates.items()), *done, *others)
     blockers = F.filter(F.array(*(F.when(~F.col(g), F.lit(g)) for g in gates)), lambda x: x.isNotNull())
     return out.withColumns({"blockers": blockers, "ready": F.size(blockers) == 0})
 

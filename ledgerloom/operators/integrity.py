@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ledgerloom.functions.names import unsafe_path
 
@@ -61,6 +66,29 @@ def binding_conflicts(records: DataFrame, key: list[str], value: str) -> DataFra
     return records.groupBy(*key).agg(F.countDistinct(value).alias("n_values"), F.count("*").alias("n_records")).filter("n_values > 1")
 
 
+def tree_digests(df: DataFrame, key: str, path: str, digest: str) -> DataFrame:
+    """(key, n_files, digest): digests.tree_digest() of each tree, fed from sorted rows, so that a task holds none whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, found = None, 0, None
+        made = lambda: pa.record_batch([pa.array([now[0]], kind), pa.array([n]), pa.array([found.hexdigest()])], [key, "n_files", "digest"])
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for k, p, d in zip(*(batch.column(c).to_pylist() for c in (key, path, digest)), strict=True):
+                if now != (k,):
+                    if now:
+                        yield made()
+                    now, n, found = (k,), 0, hashlib.sha256()
+                found.update(f"{';' if n else ''}{p}:{d}".encode())
+                n += 1
+        if now:
+            yield made()
+
+    rows = df.select(key, path, digest).filter(F.col(path).isNotNull() & F.col(digest).isNotNull()).repartition(key).sortWithinPartitions(key, path)
+    return rows.mapInArrow(run, StructType([df.schema[key], StructField("n_files", LongType()), StructField("digest", StringType())]))
+
+
 def record_mismatches(records: DataFrame, objects: DataFrame) -> DataFrame:
     """Records that disagree with their verified object's (size, sha256). Objects are verified once and bound often."""
     o = objects.select("path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))

@@ -15,8 +15,9 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def effective(df: DataFrame, key: list[str], order: list[str], count: str = "n_prior") -> DataFrame:
     """The latest row of each key and how many came before; the history itself stays in the ledger."""
-    n = df.groupBy(*key).agg((F.count("*") - 1).alias(count))
-    return latest(df, key, order).join(n, key)
+    rest = [c for c in df.columns if c not in key]
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"), (F.count("*") - 1).alias(count))
+    return last.select(*(c if c in key else F.col(f"_r.{c}").alias(c) for c in df.columns), count)
 
 
 def changes(df: DataFrame, key: list[str], order: list[str], signature: str, previous: str = "previous") -> DataFrame:

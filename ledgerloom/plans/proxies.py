@@ -22,12 +22,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(sql: str, *tables: str):
+def query(sql: str, *tables: str, into: tuple[dict, dict] = (QUERIES, ORACLES)):
     """Registers a function of these tables under its name."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(_read(spark, sf_dir, t) for t in tables))
-        ORACLES[f.__name__] = sql
+        into[0][f.__name__] = lambda spark, sf_dir: f(*(_read(spark, sf_dir, t) for t in tables))
+        into[1][f.__name__] = sql
         return f
 
     return add
@@ -76,10 +76,9 @@ def validation_counts(documents, labels):
 
 @query(f"SELECT d.source AS source, count(*) AS n, CAST(sum(CASE WHEN {STATUS} <> 'passed' THEN 1 ELSE 0 END) AS BIGINT) AS blockers, bool_and({STATUS} = 'passed') AS ready FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1", "documents", "labels")
 def retirement_gate(documents, labels):
-    rows = validated(documents, labels)
-    ready = gates.readiness(rows, ["source"], {"validated": F.col("status") == states.PASSED}).select("source", "n", "ready")
-    blockers = rows.groupBy("source").agg(F.count_if(F.col("status") != states.PASSED).alias("blockers"))
-    return ready.join(blockers, "source").select("source", "n", "blockers", "ready")
+    passed = F.col("status") == states.PASSED
+    found = gates.readiness(validated(documents, labels), ["source"], {"validated": passed}, others=(F.count_if(~passed).alias("n_blockers"),))
+    return found.select("source", "n", F.col("n_blockers").alias("blockers"), "ready")
 
 
 @query(f"SELECT d.lang AS lang, {STATUS} AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (1, 2)", "documents", "labels")
@@ -136,7 +135,7 @@ def mirror_counts(documents):
 
 @query("SELECT source, count(*) AS n_files, sha256(string_agg(CAST(doc_id AS VARCHAR) || ':' || sha256(text), ';' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1", "documents")
 def tree_digest(documents):
-    return documents.groupBy("source").agg(F.count("*").alias("n_files"), digests.tree_digest(F.col("doc_id"), sha()).alias("digest"))
+    return integrity.tree_digests(documents.select("source", "doc_id", sha().alias("sha256")), "source", "doc_id", "sha256")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1", "events")

@@ -101,6 +101,21 @@ def scan_tree(spark, root: str) -> DataFrame:
     return frame.mapInPandas(run, "path string, size long, sha256 string")
 
 
+def _check_sources(plan: DataFrame, manifest: DataFrame, source: str) -> None:
+    """Raises if any file that is to be copied isn't there with the planned bytes, before anything is written."""
+    todo = plan.filter(F.col("status") == MISSING).join(manifest, "path").select("path", "sha256")
+
+    def run(frames):
+        for f in frames:
+            full = [os.path.join(source, p) for p in f["path"]]
+            bad = [has_link(source, p) or not os.path.isfile(x) or file_sha256(x) != d for p, x, d in zip(f["path"], full, f["sha256"], strict=True)]
+            yield f.loc[bad, ["path"]]
+
+    bad = [r["path"] for r in todo.mapInPandas(run, "path string").limit(5).collect()]
+    if bad:
+        raise ValueError(f"nothing was written: sources are gone, changed or links, such as {bad}")
+
+
 def _copy(plan: DataFrame, manifest: DataFrame, source: str, destination: str) -> None:
     todo = plan.filter(F.col("status") == MISSING).join(manifest, "path").select("path", "sha256")
 
@@ -121,6 +136,7 @@ def _mirror(manifest: DataFrame, source: str, destination: str, plan_path: str)
     plan = spark.read.parquet(plan_path)  # frozen: what is checked is what is done
     counts = mirror_counts(plan).first().asDict()
     if preflight_passes(plan):
+        _check_sources(plan, manifest, source)
         _copy(plan, manifest, source, destination)
     after = mirror_counts(mirror_plan(manifest, scan_tree(spark, destination))).first().asDict()
     return counts, after

@@ -128,3 +128,57 @@ def test_format_manifest(tmp_path):
     (old / commits.MANIFEST).write_text('{"format": "ledgerloom.archive", "version": 99}')
     with pytest.raises(ValueError):
         commits.format_manifest(str(old), upgrade=True)
+
+
+def test_nothing_is_written_when_a_source_is_gone_or_changed(spark, tmp_path):
+    source, target = tmp_path / "s", tmp_path / "t"
+    source.mkdir()
+    for i in range(6):
+        (source / f"{i}.bin").write_bytes(bytes([i]) * 50)
+    manifest = spark.createDataFrame(commits.scan_tree(spark, str(source)).collect(), "path string, size long, sha256 string")
+    (source / "3.bin").unlink()
+    with pytest.raises(ValueError, match="nothing was written"):
+        commits.synchronize(manifest, str(source), str(target), str(tmp_path / "plan1"))
+    (source / "3.bin").write_bytes(b"other bytes")
+    with pytest.raises(ValueError, match="nothing was written"):
+        commits.materialize(manifest, str(source), str(target), str(tmp_path / "plan2"))
+    assert not [n for _, _, names in os.walk(target) for n in names]
+
+
+def test_video_signatures(spark):
+    from ledgerloom.functions import media
+
+    m2ts = b"".join(bytes(4) + b"\x47" + bytes(187) for _ in range(3))
+    movies = [bytes.fromhex("000001ba") + bytes(60), media.ASF + bytes(40), m2ts, (b"\x47" + bytes(187)) * 3, b"\x00\x00\x00\x08wide\x00\x00\x00\x10mdat" + bytes(8), b"\x00\x00\x00\x08moov"]
+    assert [media.signature_format(m) for m in movies] == ["VIDEO"] * 6
+    rows = [(str(i), "VIDEO", m) for i, m in enumerate([*movies, b"no signature that is known"])]
+    got = {r["occ_id"]: r["status"] for r in tools.validate(spark.createDataFrame(rows, "occ_id string, family string, content binary")).collect()}
+    assert all(got[str(i)] != "passed" for i in range(7))
+    if tools.shutil.which("ffprobe") is None:
+        assert [got[str(i)] for i in range(7)] == ["unavailable"] * 4 + ["failed"] * 2 + ["unavailable"]
+
+
+def test_records_and_placement(spark, tmp_path):
+    from ledgerloom.sources import records
+
+    facts = [("ab" * 32, "captured", "2001-02", "original", "exif"), ("ab" * 32, "captured", "2001-02", "confirmed", "user"), ("ab" * 32, "description", 'a < "b" & c', "original", "xmp"), ("ab" * 32, "description", "guess", "suggested", "model"), ("cd" * 32, "captured", "1999", "original", "exif"), ("cd" * 32, "captured", "2000", "original", "json"), ("cd" * 32, "other", None, "original", "x")]
+    made = records.records(spark.createDataFrame(facts, "sha256 string, field string, value string, fact_class string, source string"))
+    records.write_records(made, str(tmp_path / "a"))
+    records.write_records(made, str(tmp_path / "a"))  # a rerun finds exact bytes
+    base = tmp_path / "a" / "records"
+    xmp = (base / "ab" / ("ab" * 32 + ".xmp")).read_text()
+    assert "<photoshop:DateCreated>2001-02<" in xmp and "a &lt; &quot;b&quot; &amp; c" in xmp and "guess" not in xmp
+    assert "DateCreated>" not in (base / "cd" / ("cd" * 32 + ".xmp")).read_text()  # disputed
+    found = json.loads((base / "ab" / ("ab" * 32 + ".json")).read_text())
+    assert [f["field"] for f in found["fields"]] == ["captured", "description"] and len(found["fields"][1]["facts"]) == 2
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "1.jpg").write_bytes(b"x" * 9)
+    digest = archives.file_sha256(str(tmp_path / "s" / "1.jpg"))
+    items = lambda *rows: spark.createDataFrame(rows, "path string, sha256 string, folder string, name string")
+    good = ("1.jpg", digest, "Photos/2001/02 - February", "1.jpg")
+    records.place_media(items(good), str(tmp_path / "s"), str(tmp_path / "out"))
+    assert (tmp_path / "out" / good[2] / "1.jpg").read_bytes() == b"x" * 9
+    for bad in (("2.jpg", digest, "Photos", "2.jpg"), ("1.jpg", "00", "Photos", "2.jpg"), ("1.jpg", digest, "..", "2.jpg"), good):
+        with pytest.raises(ValueError, match="nothing was written"):
+            records.place_media(items(good, bad), str(tmp_path / "s"), str(tmp_path / "out2"))
+    assert not [n for _, _, names in os.walk(tmp_path / "out2") for n in names]
