@@ -38,7 +38,8 @@ WORDS = 50
 LEAST = WORDS - SHINGLE + 1
 SIMILAR = 0.8
 HASHES = 8
-#: Words for each bucket, about.
+#: Words of a chunk and for each bucket, about.
+CHUNK_WORDS = 500_000
 BUCKET_WORDS = 2_000_000
 #: Chunks ask about so many bits of a hash more than number the words: one hash in 4,096 is taken for shared by chance.
 MORE_BITS = 12
@@ -308,6 +309,7 @@ def windows_and_regions(chunked: DataFrame, told: DataFrame, buckets: int, bits:
         n, r = len(key), len(begins)
         data = [values[a:b].astype("<u4").tobytes() for a, b in zip(begins, np.append(begins[1:], len(values)), strict=True)]  # 32 bits tell the shingles of two documents apart
         both = lambda w, none: pa.concat_arrays([pa.array(w), pa.nulls(none, pa.int64())])
+        pa.default_memory_pool().release_unused()  # of the chunk before
         return pa.table(
             [pa.array(np.concatenate([x.ids[doc[begins[of]]], x.ids[doc[begins]]])), both(key.view(np.int64), r), both(span_of(low, high), r), both(span_of(first, last), r),
              pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(place[begins].astype(np.int32))]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(data, pa.binary())])],
@@ -509,16 +511,20 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 MEMBERS = "bucket int, keys binary, docs binary, begins binary, runs binary, sizes binary, values binary"
 
 
-def open_members(parts: DataFrame, windows: DataFrame, beside: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
-    """Messages with the groups that have open members: those with no found passage around a stretch of their run. For
-    each member of them up to the last open one: key, document, begin of the interval, run (-1 if it isn't open), and
-    the interval's shingles."""
+def open_groups(windows: DataFrame, beside: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, keys, spans, runs) of the groups that have open members: those with no found passage around a stretch of
+    their run. Each group's members up to the last open one; a run of -1 stands for one that isn't open."""
     covered = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.expr(f"cast(start_word as long) << 32 | (end_word - {SHINGLE})")).alias("covered"))
     is_open = f"not coalesce(exists(covered, c -> greatest(run >> 32, c >> 32) + {LEAST - 1} <= least((run & 4294967295) + {LEAST - 1}, c & 4294967295)), false)"
     # A group of two windows has been compared.
     last = beside.filter("n > 2").select("key", "doc", "run").join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
     members = windows.join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
-    members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))")).drop("covered")
+    members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))"))
+    return members.drop("covered")
+
+
+def messages(parts: DataFrame, members: DataFrame, buckets: int) -> DataFrame:
+    """The groups by bucket. For each member: key, document, begin of the interval, run, and the interval's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 4 << 20):
@@ -632,6 +638,7 @@ def settled_passages(members: DataFrame) -> DataFrame:
             pick = rank[a:b]
             if (stretches[pick] >= 0).any():
                 found.update(settled(doc[pick], begin[pick], stretches[pick], [values[at[k] : at[k] + size[k]] for k in pick.tolist()]))
+        pa.default_memory_pool().release_unused()  # of the bucket before
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
         cols = list(zip(*found, strict=True)) or [()] * 7
         return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
@@ -643,7 +650,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """A row for each passage of a document that an earlier one (by doc_id) has too, by words; ends are excluded."""
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    chunked = staged(chunks(given, F.lit(False)), "passage-chunks").select("chunk", "n_tokens", "doc_ids", "lengths", "words", "tokens")
+    chunked = staged(chunks(given, F.lit(False), CHUNK_WORDS), "passage-chunks").select("chunk", "n_tokens", "doc_ids", "lengths", "words", "tokens")
     words = chunked.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // BUCKET_WORDS)
     bits = min(64, max(16, words.bit_length() + MORE_BITS))
@@ -654,9 +661,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     parts = made.filter("values is not null").groupBy("doc").agg(F.collect_list(F.struct("begin", "values")).alias("regions"))
     beside = staged(windows.join(groups_of(windows), "key").filter("doc > other"), "beside")
     found = staged(verified(staged(candidates(beside), "candidates"), parts), "passages")
-    settled_ones = staged(settled_passages(open_members(parts, windows, beside, found, buckets)), "settled")
-    discard(made)
+    members = staged(open_groups(windows, beside, found), "members")
     discard(beside)
+    settled_ones = staged(settled_passages(messages(parts, members, buckets)), "settled")
+    discard(made)
+    discard(members)
     return found.unionByName(settled_ones)
 
 
