@@ -16,8 +16,11 @@ QUERIES = {
     "op8_lm_scoring": "lm",
     "op9_nearest_neighbours": "ann",
     "op10_html_extraction": "html",
+    "op11_toxicity": "toxicity",
+    "op12_importance_resampling": "resample",
+    "op13_source_divergence": "divergence",
 }
-ORACLES = {"op6_mix_sources": "mixing"}
+ORACLES = {"op6_mix_sources": "mixing", "op12_importance_resampling": "resample", "op13_source_divergence": "divergence"}
 
 
 def _of(module: str):
