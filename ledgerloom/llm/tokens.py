@@ -5,7 +5,8 @@ pieces, one after the other. Arrow cuts the texts before spaces that go with wha
 punctuation, and numbers the different parts; each that isn't cached is cut on (letters from digits) by the same rule
 written for Python's `re`, and encoded by the library's model. Texts with characters or white space that the two might
 treat differently (separators, fractions and superscripts, all from U+0250 on, where combining marks begin, and runs
-of white space other than one or two line ends) are encoded by the library as a whole.
+of white space other than one or two line ends) are encoded by the library as a whole, and so are texts that hold an
+added token's string (such as a special token's), which the library takes out before it cuts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from ledgerloom.llm.base import strings
 
 #: Parts that one worker keeps. When there are more, those of the texts at hand stay.
 CACHE_PARTS = 600_000
-#: Texts that go to the library whole: by their characters, and for the byte-level rule by their white space.
+#: Texts that go to the library whole: by their characters, and for the byte-level rule by their white space; added
+#: tokens come to them.
 _RARE = r"[\x1c-\x1f\x{85}\x{a0}²³¹¼½¾İ\x{250}-\x{10ffff}]"
 _SPACED = r"\A\s|\n\n(\n|\z)|  |\n | \n| \z|[\t\r\x0b\x0c]"
 #: The byte-level rule: a space goes with what follows it. The word rule: no white space, single digits.
@@ -49,13 +51,13 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.lib.model
         self.dtype = np.dtype(dtype)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.lower = self.lib.normalizer is not None
         self.split = _WORD_LEVEL if self.lower else _BYTE_LEVEL
-        self.whole = _RARE if self.lower else f"{_RARE}|{_SPACED}"
+        added = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values() if t.content]
+        self.whole = "|".join([_RARE, *([] if self.lower else [_SPACED]), *(f"(?i:{t})" for t in added)])
         self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
 

@@ -53,7 +53,6 @@ def test_plans():
 
 def brute(rows):
     t = Tokenizer.from_file(packing.TOKENIZER)
-    t.encode_special_tokens = True
     out = []
     for doc, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]

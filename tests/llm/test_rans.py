@@ -32,7 +32,6 @@ def test_blocks(n, kinds):
 
 def brute(rows):
     t = Tokenizer.from_file(rans.TOKENIZER)
-    t.encode_special_tokens = True
     out, at = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
