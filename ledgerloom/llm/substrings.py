@@ -691,12 +691,26 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return ("".join(out) + text[at:]).strip() if spans else text
 
 
+def _with_own_ids(docs: DataFrame) -> DataFrame:
+    """Adds _ledgerloom_id: the doc_id, but for rows that share theirs with another text a number from their id and text, beyond
+    all ids under 2 ** 62. So these come last, each text as a document of its own."""
+    told = docs.withColumn("_ledgerloom_id", F.col("doc_id").cast("long"))
+    h = F.xxhash64("_ledgerloom_id", "text")
+    shared = told.filter("_ledgerloom_id is not null and text is not null").groupBy("_ledgerloom_id").agg(F.min(h).alias("_a"), F.max(h).alias("_b")).filter("_a <> _b").select("_ledgerloom_id", F.lit(True).alias("_shared"))
+    if shared.isEmpty():
+        return told
+    apart = F.shiftleft(F.lit(1).cast("long"), 62) + F.shiftrightunsigned(h, 2)
+    return told.join(shared, "_ledgerloom_id", "left").withColumn("_ledgerloom_id", F.when(F.col("_shared"), apart).otherwise(F.col("_ledgerloom_id"))).drop("_shared")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs without the passages that an earlier document has; rows of which nothing is left go."""
-    found = repeated_passages(docs)
+    """docs without the passages that an earlier document has; rows of which nothing is left go. Rows with one id and
+    different texts are documents of their own."""
+    told = _with_own_ids(docs)
+    found = repeated_passages(told.select(F.col("_ledgerloom_id").alias("doc_id"), "text"))
     spans = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     names = docs.columns
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    joined = told.join(spans, F.col("_ledgerloom_id") == F.col("_doc"), "left").drop("_doc", "_ledgerloom_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

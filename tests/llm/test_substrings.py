@@ -178,3 +178,13 @@ def test_open_members_are_compared_with_all_before():
     found = S.settled(np.arange(43), np.zeros(43, np.int64), runs, parts)
     assert {(r[0], r[3]) for r in found} == {(40, 17), (41, 0), (42, 33)}
     assert not S.settled(np.arange(43), np.zeros(43, np.int64), np.full(43, -1), parts)
+
+
+def test_only_the_repeating_rows_words_go(docs):
+    """A row keeps its words where another row with its id repeats something."""
+    rng = random.Random(11)
+    passage, own, other = words(rng, 60), words(rng, 100), words(rng, 100)
+    rows = [(1, " ".join([*passage, *words(rng, 5)])), (7, " ".join([*words(rng, 20), *passage])), (7, " ".join(own)), (7, " ".join(own)), (8, " ".join(other)), (None, " ".join(passage))]
+    got = sorted((r["doc_id"] or 0, len(r["text"].split())) for r in S.remove_repeats(docs(rows)).collect())
+    assert got == [(0, 60), (1, 65), (7, 20), (7, 100), (7, 100), (8, 100)]
+    assert S.remove_repeats(docs(rows)).columns == docs(rows).columns
