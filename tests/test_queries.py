@@ -4,8 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from ledgerloom.plans import inventory, proxies
+from ledgerloom.plans import inventory, lookups, proxies
 
+ALL = proxies.QUERIES | inventory.QUERIES | lookups.QUERIES
+SQL = proxies.ORACLES | inventory.ORACLES | lookups.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -23,12 +25,12 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(proxies.QUERIES | inventory.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_equals_sql(spark, duck, name):
-    got = (proxies.QUERIES | inventory.QUERIES)[name](spark, SF)
+    got = ALL[name](spark, SF)
     names = sorted(got.columns)
     rows = [tuple(map(plain, r)) for r in got.select(*names).collect()]
-    found = duck.execute((proxies.ORACLES | inventory.ORACLES)[name])
+    found = duck.execute(SQL[name])
     at = [d[0] for d in found.description]
     assert sorted(at) == names
     want = [tuple(plain(r[at.index(n)]) for n in names) for r in found.fetchall()]
