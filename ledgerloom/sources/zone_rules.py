@@ -15,6 +15,7 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Later periods aren't made; times there have no known offset.
 LAST_YEAR = 2100
@@ -140,13 +141,10 @@ def read_zone_files(files: DataFrame, last_year: int = LAST_YEAR) -> DataFrame:
 
 def zone_files(spark: SparkSession, folder: str) -> DataFrame:
     """(zone, content) of a folder of compiled zone files, in any store that Spark reads."""
-    from pyspark.sql import functions as F
-
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    # By their first bytes: such folders also hold text files.
-    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z0-9]+:/+", "/")
-    at = F.locate(root.substr(F.lit(2), F.length(root)), F.col("path"))
-    return found.filter(F.substring("content", 1, 4) == F.lit(b"TZif")).select(F.expr("path").substr(at + F.length(root), F.length("path")).alias("zone"), "content")
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", folder.rstrip("/")) + "/"
+    zone = F.col("path").substr(F.locate(root, F.col("path")) + len(root), F.length("path"))
+    return found.filter(F.substring("content", 1, 4) == F.lit(b"TZif")).select(zone.alias("zone"), "content")  # such folders also hold text files
 
 
 def installed_zones(spark: SparkSession, zones: list[str]) -> DataFrame:
