@@ -1,17 +1,19 @@
-"""Lookups in reference data over the driver's tables, each with the SQL that gives the same rows: zones of points, rules
-in force, wall times."""
+"""Lookups over the driver's tables, each with the SQL that gives the same rows: zones of points, rules in force, wall
+times, texts by a stored index."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import intervals, offsets, zones
+from ledgerloom.operators import intervals, offsets, textindex, zones
 from ledgerloom.plans import proxies
 from ledgerloom.sources import zone_rules
+from ledgerloom.sources.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +87,12 @@ def instants_of_wall_times(orders):
     """Times that the clock skipped or showed twice stay a gap or ambiguous."""
     rows, periods = _orders_in_zones(orders)
     return offsets.to_utc(rows, periods, "o_orderkey", "at", "zone")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), 'tion the') ORDER BY n_chars DESC, doc_id LIMIT 25", "documents")
+def indexed_search(documents):
+    """An index of two intakes, merged, then searched."""
+    index = textindex.TextIndex(documents.sparkSession, f"{shared_folder(documents.sparkSession)}/texts-{uuid.uuid4().hex}")
+    for intake in (0, 1):
+        index = index.add(documents.filter(F.col("doc_id") % 2 == intake).select(F.col("doc_id").alias("id"), "text"))
+    return index.compact().search(documents, "doc_id", "text", "Tion the", 25, [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "n_chars")
