@@ -129,29 +129,37 @@ def _copy(plan: DataFrame, manifest: DataFrame, source: str, destination: str) -
     todo.foreachPartition(run)
 
 
-def _mirror(manifest: DataFrame, source: str, destination: str, plan_path: str) -> tuple[dict, dict]:
+def _mirror(manifest: DataFrame, source: str, destination: str, plan_path: str, legacy: bool) -> tuple[dict, dict]:
     spark = manifest.sparkSession
+    if not legacy:
+        check_format(destination)  # planning only reads; the manifest is made with the first write
     os.makedirs(destination, exist_ok=True)
     mirror_plan(manifest, scan_tree(spark, destination)).write.mode("errorifexists").parquet(plan_path)
     plan = spark.read.parquet(plan_path)  # frozen: what is checked is what is done
     counts = mirror_counts(plan).first().asDict()
     if preflight_passes(plan):
         _check_sources(plan, manifest, source)
+        if not legacy:
+            format_manifest(destination)
         _copy(plan, manifest, source, destination)
     after = mirror_counts(mirror_plan(manifest, scan_tree(spark, destination))).first().asDict()
     return counts, after
 
 
-def synchronize(manifest: DataFrame, source: str, destination: str, plan_path: str) -> dict:
+def synchronize(manifest: DataFrame, source: str, destination: str, plan_path: str, legacy: bool = False) -> dict:
     """Brings the destination up to the manifest and verifies it by new hashes; nothing is written if anything conflicts,
-    and nothing is ever deleted. Returns the verification."""
-    _, after = _mirror(manifest, source, destination, plan_path)
+    and nothing is ever deleted. Returns the verification.
+
+    The destination must be new, or have a format manifest that is known here; a new one gets it. legacy writes to
+    archives of earlier days, which have none.
+    """
+    _, after = _mirror(manifest, source, destination, plan_path, legacy)
     return {"ok": bool(after["ok"] and after["reused"] == after["total"]), "unsafe_paths": after["unsafe_paths"], "conflicts": after["conflicts"], "missing": after["copied"], "leftovers": leftovers(destination)}
 
 
-def materialize(manifest: DataFrame, source: str, destination: str, plan_path: str) -> dict:
+def materialize(manifest: DataFrame, source: str, destination: str, plan_path: str, legacy: bool = False) -> dict:
     """synchronize(), told as counts: copied, reused and verified."""
-    counts, after = _mirror(manifest, source, destination, plan_path)
+    counts, after = _mirror(manifest, source, destination, plan_path, legacy)
     return {"copied": after["reused"] - counts["reused"], "reused": counts["reused"], "verified": after["reused"], "ok": bool(after["ok"] and after["reused"] == after["total"])}
 
 
@@ -176,22 +184,30 @@ def write_report(path: str, report: dict) -> None:
         json.dump(report, f, sort_keys=True, indent=1)
 
 
-def format_manifest(root: str, upgrade: bool = False) -> dict:
-    """Checks or makes the archive's format manifest. A new folder gets one; an archive of earlier days only by an
-    explicit upgrade, which changes no other file and may be repeated; links and unknown formats are refused."""
+def check_format(root: str, upgrade: bool = False) -> dict | None:
+    """The archive's format manifest, None where one may be made; only reads. Raises for links, for formats that aren't
+    known here, and for archives of earlier days, which have files and no manifest, unless they are to be upgraded."""
     from ledgerloom.operators.gates import require_format
 
     path = os.path.join(root, MANIFEST)
     there = [os.path.relpath(os.path.join(d, n), root) for d, folders, names in os.walk(root) for n in [*names, *folders]]
     if any(os.path.islink(os.path.join(root, p)) for p in there):
         raise ValueError("the archive has links")
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-        require_format(found.get("format"), found.get("version"), False)
+    if not os.path.exists(path):
+        if not upgrade:
+            require_format(None, None, not there)
+        return None
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    require_format(found.get("format"), found.get("version"), False)
+    return found
+
+
+def format_manifest(root: str, upgrade: bool = False) -> dict:
+    """check_format(), and makes the manifest where there may be one: for a new folder, and for an archive of earlier days
+    by an explicit upgrade, which changes no other file and may be repeated."""
+    if found := check_format(root, upgrade):
         return found
-    if not upgrade:
-        require_format(None, None, not there)
     made = {"format": "ledgerloom.archive", "version": 1}
     line = json.dumps(made).encode()
     os.makedirs(root, exist_ok=True)

@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from ledgerloom.plans import inventory, lookups, proxies, trees
+from ledgerloom.plans import audits, inventory, lookups, proxies, trees
 
-ALL = proxies.QUERIES | inventory.QUERIES | lookups.QUERIES | trees.QUERIES
-SQL = proxies.ORACLES | inventory.ORACLES | lookups.ORACLES | trees.ORACLES
+ALL = proxies.QUERIES | inventory.QUERIES | lookups.QUERIES | trees.QUERIES | audits.QUERIES
+SQL = proxies.ORACLES | inventory.ORACLES | lookups.ORACLES | trees.ORACLES | audits.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -80,6 +80,7 @@ def test_mirror_resumes(spark, tmp_path):
         (target / f"d{i}").mkdir(parents=True, exist_ok=True)
         (target / f"d{i}" / f"{i}.bin").write_bytes(str(i).encode() * 100)
     (target / "extra").write_text("stays")
+    commits.format_manifest(str(target), upgrade=True)  # the run that was interrupted had begun with it
     got = commits.materialize(manifest, str(source), str(target), str(tmp_path / "plan1"))
     assert got == {"copied": 9, "reused": 3, "verified": 12, "ok": True} and (target / "extra").exists()
     assert commits.synchronize(manifest, str(source), str(target), str(tmp_path / "plan2")) == {"ok": True, "unsafe_paths": 0, "conflicts": 0, "missing": 0, "leftovers": []}
@@ -182,3 +183,29 @@ def test_records_and_placement(spark, tmp_path):
         with pytest.raises(ValueError, match="nothing was written"):
             records.place_media(items(good, bad), str(tmp_path / "s"), str(tmp_path / "out2"))
     assert not [n for _, _, names in os.walk(tmp_path / "out2") for n in names]
+
+
+def test_mirrors_need_a_known_format(spark, tmp_path):
+    """A new destination gets the manifest with its first write; foreign, unknown and linked ones are left alone."""
+    source = tmp_path / "s"
+    source.mkdir()
+    (source / "a.bin").write_bytes(b"bytes")
+    manifest = commits.scan_tree(spark, str(source)).cache()
+    new, foreign, future, linked, bad = (tmp_path / n for n in ("new", "foreign", "future", "linked", "bad"))
+    assert commits.synchronize(manifest, str(source), str(new), str(tmp_path / "p1"))["ok"] and commits.check_format(str(new))["version"] == 1
+    assert commits.synchronize(manifest, str(source), str(new), str(tmp_path / "p2"))["ok"]
+    for at in (foreign, future, linked):
+        at.mkdir()
+    (foreign / "other.bin").write_bytes(b"not ours")
+    (future / commits.MANIFEST).write_text('{"format": "ledgerloom.archive", "version": 99}')
+    (linked / commits.MANIFEST).symlink_to(new / commits.MANIFEST)
+    for k, at in enumerate((foreign, future, linked)):
+        before = sorted(os.listdir(at))
+        with pytest.raises(ValueError):
+            commits.synchronize(manifest, str(source), str(at), str(tmp_path / f"q{k}"))
+        assert sorted(os.listdir(at)) == before
+    assert commits.synchronize(manifest, str(source), str(foreign), str(tmp_path / "p3"), legacy=True)["ok"] and not (foreign / commits.MANIFEST).exists()
+    (source / "a.bin").write_bytes(b"changed")
+    with pytest.raises(ValueError, match="nothing was written"):
+        commits.synchronize(manifest, str(source), str(bad), str(tmp_path / "p4"))
+    assert not os.listdir(bad)
