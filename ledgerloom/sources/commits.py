@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.integrity import MISSING, mirror_counts, mirror_plan, preflight_passes
+from ledgerloom.sources import tree
 from ledgerloom.sources.archives import PIECE, file_sha256
 
 #: Staging files have this ending; recovery must leave none.
@@ -84,21 +85,19 @@ def leftovers(root: str) -> list[str]:
 
 
 def scan_tree(spark, root: str) -> DataFrame:
-    """manifest(path, size, sha256) of the files below root; links are refused. Names are listed once, hashing is dealt."""
-    names = []
-    for d, folders, files in os.walk(root):
-        for n in [*folders, *files]:
-            if os.path.islink(os.path.join(d, n)):
-                raise ValueError(f"{os.path.join(d, n)} is a link")
-        names += [os.path.relpath(os.path.join(d, n), root) for n in files if not n.endswith(STAGING)]
-    frame = spark.createDataFrame([(n,) for n in names], "path string")
+    """manifest(path, size, sha256) of the files below root; links and what can't be read are refused. Listing and hashing
+    are dealt to tasks."""
+    found = tree.entries(spark, root)
+    bad = found.filter(F.col("kind").isin(tree.LINK, tree.UNREADABLE, tree.OTHER)).select("path", "detail").limit(1).collect()
+    if bad:
+        raise ValueError(f"{os.path.join(root, bad[0]['path'])} is a link or can't be read: {bad[0]['detail']}")
+    files = found.filter((F.col("kind") == tree.FILE) & ~F.col("path").endswith(STAGING)).select("path", "size")
 
     def run(frames):
         for f in frames:
-            full = [os.path.join(root, p) for p in f["path"]]
-            yield f.assign(size=[os.path.getsize(p) for p in full], sha256=[file_sha256(p) for p in full])
+            yield f.assign(sha256=[file_sha256(os.path.join(root, p)) for p in f["path"]])
 
-    return frame.mapInPandas(run, "path string, size long, sha256 string")
+    return files.mapInPandas(run, "path string, size long, sha256 string")
 
 
 def _check_sources(plan: DataFrame, manifest: DataFrame, source: str) -> None:
