@@ -8,8 +8,10 @@ labelled documents, with the forward-backward algorithm.
 Only a bounded sample of labelled documents is learned from: whole documents, chosen by a hash of the id, about
 SAMPLE of each language. Everything else covers all rows and whole texts.
 
-Defined results: und with score 0 if the text is null or has no letter, or if nothing could be learned; letter runs
-over LONGEST letters are taken in parts; repeated rows are scored alike; an empty table gives no rows; other columns
+Words are runs of letters (Unicode's category L), with the marks that follow them; numbers such as ½ or ² aren't letters.
+
+Defined results: und with score 0 if the text is null or has no letter, or if nothing could be learned; a word of any
+length is scored whole, by a state that is rescaled on its way (words over LONGEST letters teach nothing); repeated rows are scored alike; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +41,11 @@ LONGEST = 48
 #: Sums over segmentations are kept times two to so many for each letter.
 SCALE_BITS = 13
 CACHE_WORDS = 300_000
+#: Words where no character is RARE, and words of any text.
 LETTERS = re.compile(r"[^\W\d_]+")
+RARE = regex.compile(r"[\p{M}\p{Nl}\p{No}]")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+PIECE = regex.compile(r"[\p{L}\p{M}]+")
 UNDETERMINED = "und"
 
 
@@ -53,7 +60,7 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found = (model.id_to_piece(i).lower() for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        pieces = sorted({p for p in found if LETTERS.fullmatch(p.removeprefix(self.MARK)) or p == self.MARK})
+        pieces = sorted({p for p in found if PIECE.fullmatch(p.removeprefix(self.MARK)) or p == self.MARK})
         self.index = {p: i + 1 for i, p in enumerate(pieces)}  # 0: an unknown letter
         self.size = len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
@@ -83,10 +90,8 @@ class Vocabulary:
 
 
 def words_of(text: str) -> list[str]:
-    found = LETTERS.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    lowered = text.lower()
+    return (LETTERS if lowered.isascii() or not RARE.search(lowered) else WORDS).findall(lowered)
 
 
 def _scale(rows: np.ndarray) -> np.ndarray:
@@ -114,10 +119,39 @@ def forward(words: list[str], vocabulary: Vocabulary, prob: np.ndarray) -> tuple
 
 def word_scores(words: list[str], vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language."""
+    long = [k for k, w in enumerate(words) if len(w) > LONGEST]
+    if long:
+        out = np.empty((len(words), prob.shape[1]))
+        short = np.setdiff1d(np.arange(len(words)), long)
+        if len(short):
+            out[short] = word_scores([words[k] for k in short], vocabulary, prob)
+        out[long] = [long_word_score(words[k], vocabulary, prob) for k in long]
+        return out
     alpha, _, n = forward(words, vocabulary, prob)
     return np.log(alpha[np.arange(len(words)), n]) - (n * SCALE_BITS * np.log(2))[:, None]
 
 
+def long_word_score(word: str, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """The same of one word of any length: only the sums up to the last places are held, and multiplied as they shrink."""
+    marked, index, most = vocabulary.MARK + word, vocabulary.index, vocabulary.longest
+    last = np.zeros((most + 1, prob.shape[1]))  # sums up to place j are in row j % (most + 1)
+    last[0] = 1
+    factor = np.zeros(prob.shape[1])
+    for j in range(1, len(marked) + 1):
+        pieces = [(i, p) for i in range(max(0, j - most), j) if (p := index.get(marked[i:j])) is not None]
+        if not pieces or pieces[-1][0] != j - 1:
+            pieces.append((j - 1, 0))
+        at = np.array(pieces)
+        now = (last[at[:, 0] % (most + 1)] * prob[at[:, 1]]).sum(axis=0)
+        last[j % (most + 1)] = now
+        small = now < 1e-100
+        if small.any():
+            up = np.where(small, 1e100, 1.0)
+            last *= up
+            factor += np.log(up)
+    return np.log(last[len(marked) % (most + 1)]) - factor
+
+
 def expected_counts(words: list[str], weights: np.ndarray, vocabulary: Vocabulary, prob: np.ndarray) -> np.ndarray:
     """Pieces expected in the words' segmentations; prob and the result have one column."""
     alpha, rows, n = forward(words, vocabulary, prob)
@@ -155,7 +189,7 @@ def train(labelled: DataFrame, path: str = VOCABULARY, sample: int = SAMPLE, rou
         found: dict[str, Counter] = {}
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-                found.setdefault(lang, Counter()).update(words_of(text))
+                found.setdefault(lang, Counter()).update(w for w in words_of(text) if len(w) <= LONGEST)
             if sum(map(len, found.values())) > 200_000:
                 yield from rows(found)
                 found = {}

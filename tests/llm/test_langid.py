@@ -49,11 +49,11 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(docs):
-    rows = [*ODD, (20, "the house and the garden", "en"), (21, "das haus und der garten", "de"), (22, "der hund und das kind", "de"), (23, "the dog and the child", "en"), (24, "12 !!", "en")]
+    rows = [*ODD, (20, "the house and the garden", "en"), (21, "das haus und der garten", "de"), (22, "der hund und das kind", "de"), (23, "the dog and the child", "en"), (24, "12 !!", "en"), (25, "½ ² Ⅷ ①", "en"), (26, "\u0301\u093f", "en")]
     frame = docs(rows)
     model = langid.train(frame.filter("lang is not null and text is not null"))
     got = {r["doc_id"]: r for r in langid.identify(frame, model).collect()}
-    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3, 24))
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3, 24, 25, 26))
     assert got[21]["lang_pred"] == got[22]["lang_pred"] == "de" and got[20]["lang_pred"] == "en" and got[20]["ids"] == "x"
     assert langid.identify(docs([]), model).count() == 0
     none = langid.identify(docs([(1, "text")]), langid.train(frame.limit(0))).collect()
@@ -72,3 +72,28 @@ def test_long_runs_of_unknown_letters_stay_finite():
     scores = langid.word_scores(words, vocabulary, prob)
     assert np.isfinite(scores).all() and abs(scores[0, 0] - np.log(langid.UNKNOWN) * 48 - np.log(prob[1, 0])) < 20
     assert np.isfinite(langid.expected_counts(words, np.ones(2), vocabulary, prob[:, :1])).all()
+
+
+def test_words_are_letters_and_their_marks():
+    assert langid.words_of("हिन्दी में लिखा, x² ½ naïve e\u0301t") == ["हिन्दी", "में", "लिखा", "x", "naïve", "e\u0301t"]
+    assert langid.words_of("Straße I've 3D") == ["straße", "i", "ve", "d"] and langid.words_of("½ ² ① \u0301") == []
+
+
+def test_long_words_are_scored_whole():
+    """As the short ones are, and with the same sum over segmentations at any length."""
+    vocabulary = langid.Vocabulary.shared(langid.VOCABULARY)
+    rng = np.random.default_rng(2)
+    prob = rng.random((vocabulary.size, 3)) / 1000
+    prob[0] = 1e-9
+    for word in ("the", "thisisaword", "ქართული", "a" * langid.LONGEST):
+        assert langid.long_word_score(word, vocabulary, prob) == pytest.approx(langid.word_scores([word], vocabulary, prob)[0])
+    word = "donaudampfschifffahrtsgesellschaft" * 3
+    marked, sums = vocabulary.MARK + word, [[1.0] * 3]
+    for j in range(1, len(marked) + 1):  # in whole numbers of log, language by language
+        found = [(i, vocabulary.index[marked[i:j]]) for i in range(j) if marked[i:j] in vocabulary.index]
+        if not any(i == j - 1 for i, _ in found):
+            found.append((j - 1, 0))
+        sums.append([sum(sums[i][k] * prob[p, k] for i, p in found) for k in range(3)])
+    mixed = langid.word_scores(["the", word, "a"], vocabulary, prob)
+    assert mixed[1] == pytest.approx([math.log(x) for x in sums[-1]]) and mixed[0] == pytest.approx(langid.word_scores(["the"], vocabulary, prob)[0])
+    assert np.isfinite(langid.word_scores(["\U00010330" * 20_000], vocabulary, prob)).all()
