@@ -7,6 +7,8 @@ import struct
 from collections.abc import Iterator
 
 BRANDS = {b"heic": "HEIF", b"heix": "HEIF", b"mif1": "HEIF", b"msf1": "HEIF", b"hevc": "HEIF", b"avif": "AVIF", b"avis": "AVIF"}
+#: Brands of any coding of pictures and sequences.
+GENERAL_BRANDS = (b"mif1", b"msf1")
 
 #: The first bytes of ASF files, and boxes that movies from before file types begin with.
 ASF = bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c")
@@ -41,6 +43,10 @@ def signature_format(data: bytes) -> str:
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "WEBP"
     if data[4:8] == b"ftyp":
+        if data[8:12] in GENERAL_BRANDS:  # the compatible brands tell the coding
+            end = min(len(data), struct.unpack_from(">I", data)[0])
+            if any(BRANDS.get(data[at : at + 4]) == "AVIF" for at in range(16, end - 3, 4)):
+                return "AVIF"
         return BRANDS.get(data[8:12], "VIDEO")
     if data[:4] in (b"\x00\x00\x01\xba", b"\x00\x00\x01\xb3") or data[:16] == ASF or data[4:8] in OLD_MOVIE:
         return "VIDEO"

@@ -1,10 +1,7 @@
-"""Ranges, cells and zones."""
+"""Ranges, bands and nearest places."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +9,8 @@ from pyspark.sql import functions as F
 def rules_in_force(df: DataFrame, rules: DataFrame, time: str, start: str, end: str, on: list[str] | None = None) -> DataFrame:
     """Each row with the rules whose half-open scope [start, end) holds its time; open ends are null.
 
-    With join columns this is an equi-join with a filter; without, rules must be few: they are a reference pack.
+    With join columns this is an equi-join with a filter; without, rules must be few: they are a reference pack. For many,
+    or long ones beside short ones, see intervals.interval_join().
     """
     inside = (F.col(start).isNull() | (F.col(time) >= F.col(start))) & (F.col(end).isNull() | (F.col(time) < F.col(end)))
     return df.join(rules, on).filter(inside) if on else df.join(rules, inside)
@@ -55,34 +53,6 @@ def nearest_place(points: DataFrame, places: DataFrame, most_km: float, cell: fl
     return points.select("id").join(best, "id", "left")
 
 
-def zones_at(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """points (id, lat, lon) with polygons (zone, ring array<struct<lat,lon>>): the zones that hold each point.
-
-    Boxes are joined by cell, then each candidate is tested exactly by ray casting. Rows of several zones are all
-    given; points in none have none. Polygons don't cross the date line.
-    """
-    box = polygons.select("zone", "ring", *(f(F.col(f"ring.{k}")).alias(n) for k in ("lat", "lon") for f, n in ((F.array_min, f"{k}0"), (F.array_max, f"{k}1"))))
-    floor = lambda c: F.floor(F.col(c) / cell)
-    cells = box.withColumn("_y", F.explode(F.sequence(floor("lat0"), floor("lat1")))).withColumn("_x", F.explode(F.sequence(floor("lon0"), floor("lon1"))))
-    p = points.filter("lat is not null and lon is not null").withColumns({"_y": floor("lat"), "_x": floor("lon")})
-    joined = p.join(cells, ["_y", "_x"]).filter("lat between lat0 and lat1 and lon between lon0 and lon1").select("id", "lat", "lon", "zone", "ring")
-
-    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for y, x, ring in zip(f["lat"], f["lon"], f["ring"], strict=True):
-                odd, n = False, len(ring)
-                for i in range(n):
-                    a, b = ring[i], ring[(i + 1) % n]
-                    if (a["lat"] > y) != (b["lat"] > y) and x < (b["lon"] - a["lon"]) * (y - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]:
-                        odd = not odd
-                keep.append(odd)
-            yield f.loc[keep, ["id", "zone"]]
-
-    kind = dict(points.dtypes)["id"]
-    return points.select("id").join(joined.mapInPandas(inside, f"id {kind}, zone string"), "id", "left")
-
-
 def nearest_vector(queries: DataFrame, references: DataFrame) -> DataFrame:
     """queries and references (id, v array<double>): the reference with the least squared distance, rounded to four
     places, ties by id. References are a small stated set."""

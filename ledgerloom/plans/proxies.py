@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, digests, states
+from ledgerloom.functions import dates, digests, names, states
 from ledgerloom.operators import catalogue, gates, identity, integrity, ledger, pairing, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,9 +282,13 @@ def json_field(events):
     return events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-@query("SELECT page_id, CASE WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' ELSE 'clean' END AS state FROM pages", "pages")
+@query(r"""SELECT page_id, CASE WHEN contains(url, '?') THEN 'query' WHEN contains(url, '#') THEN 'fragment' ELSE 'clean' END AS state, path = '' OR regexp_matches(path, '^/|^[A-Za-z]:|\\|(^|/)\.{1,2}(/|$)|//|/$') AS unsafe
+ FROM (SELECT *, regexp_replace(url, '^[a-z]+://[^/]*/?', '') || CASE page_id % 7 WHEN 1 THEN '/' WHEN 2 THEN '/../x' ELSE '' END AS path FROM pages)""", "pages")
 def path_safety(pages):
-    return pages.select("page_id", F.when(F.contains("url", F.lit("?")), "query").when(F.contains("url", F.lit("#")), "fragment").otherwise("clean").alias("state"))
+    """The path of each page's address, some with an end that leaves its folder."""
+    path = F.concat(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), F.when(F.col("page_id") % 7 == 1, "/").when(F.col("page_id") % 7 == 2, "/../x").otherwise(""))
+    state = F.when(F.contains("url", F.lit("?")), "query").when(F.contains("url", F.lit("#")), "fragment").otherwise("clean")
+    return pages.select("page_id", state.alias("state"), names.unsafe_path(path).alias("unsafe"))
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) > 0 AND contains(d.text, b.text))", "documents", "benchmark")

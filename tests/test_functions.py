@@ -88,3 +88,9 @@ def test_media():
     heif = box(b"ftyp", b"heic", bytes(4)) + box(b"meta", b"x")
     assert media.motion_photo(heif + box(b"mpvd", movie(b"vide"))) == "embedded" and media.motion_photo(heif + box(b"mpvd", movie(b"vide")) + box(b"free")) == "none"
     assert media.signature_format(heif) == "HEIF" and media.signature_format(movie(b"vide")) == "VIDEO" and media.signature_format(b"") == "UNKNOWN"
+
+
+def test_general_brands_are_told_by_the_compatible_ones():
+    file = lambda *brands: (16 + 4 * (len(brands) - 1)).to_bytes(4, "big") + b"ftyp" + brands[0] + bytes(4) + b"".join(brands[1:]) + bytes(20)
+    told = [media.signature_format(file(*b)) for b in ((b"mif1", b"miaf", b"avif"), (b"mif1", b"heic"), (b"mif1",), (b"msf1", b"avis"), (b"heic", b"avif"), (b"avif", b"heic"))]
+    assert told == ["AVIF", "HEIF", "HEIF", "AVIF", "HEIF", "AVIF"]

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import catalogue, gates, identity, integrity, ledger, pairing, spatial
+from ledgerloom.operators import zones as zone_cells
 
 
 def rows(df, *order):
@@ -71,7 +72,7 @@ def test_space(spark):
     ring = [(0.0, 0.0), (0.0, 10.0), (10.0, 10.0), (10.0, 5.0), (5.0, 5.0), (5.0, 0.0)]
     zones = spark.createDataFrame([("z", ring)], "zone string, ring array<struct<lat:double,lon:double>>")
     q = spark.createDataFrame([(1, 2.0, 2.0), (2, 7.0, 2.0), (3, 7.0, 7.0), (4, 50.0, 5.0)], "id long, lat double, lon double")
-    assert rows(spatial.zones_at(q, zones)) == [(1, "z"), (2, None), (3, "z"), (4, None)]
+    assert rows(zone_cells.zones_at(q, zones)) == [(1, "z"), (2, None), (3, "z"), (4, None)]
     rules = spark.createDataFrame([("old", None, 10), ("new", 10, None)], "rule string, a int, b int")
     t = spark.createDataFrame([(9,), (10,), (None,)], "t int")
     assert rows(spatial.rules_in_force(t, rules, "t", "a", "b").select("t", "rule")) == [(10, "new"), (9, "old")]
