@@ -8,7 +8,9 @@ It is trained here, on pages that are made here: articles in many kinds of wrapp
 sidebars, notices, adverts, forms and comments. The made pages and the first weights come from a fixed seed.
 
 Defined results: null or empty html, or a page without a main block, has empty text; comments, scripts, styles and
-what stands in the head are never text; a tag, comment or element that isn't closed ends with the page; character
+what stands in the head are never text; a tag, comment,
+script or the like that isn't closed ends with the page, and a drawing, object or choice that isn't is like other
+elements; formulas are text; character
 references that aren't known stay as they are; repeated rows are extracted alike; an empty table gives no rows.
 """
 
@@ -20,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,18 @@ from ledgerloom.llm.base import slices, table, texts
 PATH_SIZE, WORD_SIZE, SIZES = 64, 24, 6
 INPUT = PATH_SIZE + WORD_SIZE + SIZES
 HIDDEN = 20
-MADE_PAGES, EPOCHS, BATCH, RATE, SEED = 1800, 10, 30, 0.01, 11
+MADE_PAGES, EPOCHS, BATCH, RATE, SEED = 3600, 12, 30, 0.01, 11
 #: Pages that are labelled together.
 PAGES_AT_ONCE = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom mfenced menclose semantics".split()
+)
 #: An opening tag of the first ends an open element of the second within the same container.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTAINERS = frozenset("article aside body div section main td th table ul ol dl nav header footer form blockquote figure html details fieldset".split())
-_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math|object)(?=[\s/>])[^>]*/>|<(?:(?P<mute>script|style|noscript|template|svg|math|iframe|textarea|select|object|canvas|title)(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</(?P=mute)\s*>|\Z)|\Z))|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math|object)(?=[\s/>])[^>]*/>|<(?:(?P<mute>script|style|noscript|template|iframe|textarea|title)(?=[\s/>]|\Z)[^>]*(?:>.*?(?:</(?P=mute)\s*>|\Z)|\Z))|<(?P<drawn>svg|select|object|canvas|annotation|annotation-xml)(?=[\s>])[^>]*>.*?</(?P=drawn)\s*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -354,6 +360,8 @@ class Maker:
         self.r = random.Random(seed)
         #: Whether the page's elements and class names don't tell what they hold.
         self.vague = False
+        #: Whether its main text has long lists.
+        self.listed = False
         self.syllables = ["".join(self.r.choices("bcdfghklmnprstvwz", k=self.r.choice((0, 1, 2)))) + self.r.choice("aeiouéäñ") + self.r.choice(("", "n", "r", "s", "t")) for _ in range(120)]
 
     def words(self, n: int) -> str:
@@ -402,6 +410,9 @@ class Maker:
         for _ in range(self.r.choice((1, 1, 2, 3, 5, 8, 12, 20, 40))):
             kind = self.r.random()
             t = self.text("M", 1, self.r.choice((4, 20, 60, 120)))
+            if self.listed and kind < 0.3:
+                out.append("<{0}>{1}</{0}>".format(self.r.choice(("ul", "ol", "dl")), "".join(f"<li>{self.text('M', 1, self.r.choice((3, 10, 30)))}</li>" for _ in range(self.r.randint(4, 20)))))
+                continue
             out.append(
                 f"<p>{t}</p>" if kind < 0.68 else f"<p><b>{t}<br>" if kind < 0.76 else f"<h2>{t}</h2>" if kind < 0.82 else self.items("M", 0.1) if kind < 0.86 else f"<blockquote><p>{t}</p></blockquote>" if kind < 0.9
                 else f"<div>{t}</div>" if kind < 0.93 else f"<pre>{t}</pre>" if kind < 0.95 else f"<table><tr><td>{t}</td><td>{self.text('M', 1, 6)}</td></tr></table>" if kind < 0.97 else f"<figure><img src=x><figcaption>{t}</figcaption></figure>"
@@ -410,21 +421,31 @@ class Maker:
                 out.append(self.r.choice((lambda: self.rest(self.ADS), lambda: self.rest(self.SIDES), self.form, lambda: self.rest(self.NOTICES)))())
         return "".join(out)
 
+    def posts(self) -> str:
+        """Titles and texts in elements whose names tell nothing, such as a forum's."""
+        title, body = (f'div class="{self.r.choice(("t", "b", "m", "q", "msg", "txt", *self.PLAIN))}"' for _ in range(2))
+        return "".join(self.within(title, self.text("M", 1, 8)) + self.within(body, self.text("M", 8, 80)) for _ in range(self.r.randint(1, 8)))
+
     def page(self) -> tuple[list[Block], np.ndarray]:
         r = self.r
         self.vague = r.random() < 0.35
+        self.listed = r.random() < 0.15
         before = [f for p, f in ((0.4, lambda: self.rest(self.HEADERS)), (0.75, lambda: self.rest(self.MENUS, 0.1)), (0.25, lambda: self.rest(self.NOTICES, 0.9)), (0.5, lambda: self.rest(self.ADS, 0.8)), (0.1, self.form), (0.2, lambda: self.rest(self.SIDES))) if r.random() < p]
         after = [f for p, f in ((0.35, lambda: self.rest(self.SIDES)), (0.25, lambda: self.rest(self.COMMENTS, 0.9)), (0.2, lambda: self.rest(self.ADS, 0.8)), (0.15, self.form), (0.1, lambda: self.rest(self.NOTICES, 0.9)), (0.1, lambda: self.rest(self.MENUS, 0.1))) if r.random() < p]
         r.shuffle(before)
         r.shuffle(after)
         tag = r.choice((*self.WRAPPERS, "article", "article"))
-        main = self.main()
-        if r.random() < 0.06:
+        main = self.posts() if r.random() < 0.07 else self.main()
+        bare = r.random() < 0.1  # nothing but the text
+        if bare:
+            before, after, tag = before[: r.random() < 0.2], [], r.choice(("body", "body", tag))
+            main = main if r.random() < 0.6 else f"<p>{self.text('M', 3, 60)}</p>"
+        if not bare and r.random() < 0.06:
             main += self.rest(self.COMMENTS, 0.9)
         inside = main if tag == "body" else self.within(tag, main)
         if r.random() < 0.25:
             inside = self.within(r.choice(("div", "main", 'div class="container"', 'div id="page"', 'div class="wrapper"')), inside)
-        foot = self.rest(self.FOOTERS, 0.8) if r.random() < 0.85 else ""
+        foot = self.rest(self.FOOTERS, 0.8) if r.random() < (0.15 if bare else 0.85) else ""
         body = "".join(f() for f in before) + inside + "".join(f() for f in after) + foot
         found = blocks(f"<!DOCTYPE html><html><head><title>B {self.words(4)}</title></head><body>{body}")
         marks = np.array([b.text[:1] == "M" for b in found], bool)
@@ -460,6 +481,12 @@ def train(pages: int = MADE_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> La
     return net
 
 
+@cache
+def trained() -> Labeller:
+    """The labeller of the made pages, once for a process."""
+    return train()
+
+
 def extract(pages: DataFrame, net: Labeller) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
 
@@ -475,4 +502,4 @@ def extract(pages: DataFrame, net: Labeller) -> DataFrame:
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"), train())
+    return extract(table(spark, sf_dir, "pages"), trained())

@@ -37,7 +37,7 @@ def test_gradients():
 
 @pytest.fixture(scope="module")
 def net():
-    return html.train()
+    return html.trained()
 
 
 def test_unseen_made_pages(net):
@@ -131,3 +131,32 @@ def test_links_and_deep_pages():
     page = "<div>x" * 50_000
     found = html.blocks(page)
     assert len(found) == 50_000 and html.Features().of(found).shape == (50_000, html.INPUT) and len(found[-1].path) == 50_000
+
+
+PROSE = "".join(f"<p>Paragraph {i} {SAYS}</p>" for i in range(5))
+MENU = '<div class="links"><a href=/a/>Home</a> <a href=/b/>About</a> <a href=/c/>Contact</a></div>'
+FOOT = "<footer>Copyright 2020 My site. All rights reserved.</footer>"
+LIST = "<ul>" + "".join(f"<li>Point {i} of the list</li>" for i in range(12)) + "</ul>"
+#: Pages that the maker doesn't make, and how their main text begins and how many blocks it has.
+BY_HAND = {
+    "one paragraph": ("<p>One paragraph that stands alone on its page</p>", "One paragraph", 1), "no wrapper": (f"<h1>How we built it</h1>{PROSE}", "How we", 6), "no wrapper among others": (f"{MENU}<h1>How we built it</h1>{PROSE}{FOOT}", "How we", 6),
+    "list": (f"<nav><a href=/>Home</a></nav><article><h1>How we built</h1><p>{SAYS}</p>{LIST}<p>{SAYS}</p></article>{FOOT}", "How we", 15), "list alone": (f"<nav><a href=/>Home</a></nav><article><h1>How we built</h1>{LIST}</article>{FOOT}", "How we", 13),
+    "forum": ("".join(f'<div class="t">Question {i}</div><div class="b">{SAYS}</div>' for i in range(4)), "Question 0", 8), "formula": (f"{MENU}<article><h1>Title</h1><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given</p>{PROSE}</article>{FOOT}", "Title\nLet x=2 be given\n", 7),
+    "table layout": (f"<table><tr><td>{MENU}</td></tr><tr><td><h1>Title of it</h1>{PROSE}</td></tr></table>", "Title of it", 6), "canvas left open": (f"{MENU}<article><h1>Title of it</h1><canvas><p>{SAYS}</p>{PROSE}</article>{FOOT}", "Title of it", 7),
+    "own elements": (f"{MENU}<my-article><h1>Title of it</h1>{PROSE}</my-article>{FOOT}", "Title of it", 6),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_ordinary_pages(net, name):
+    page, begin, n = BY_HAND[name]
+    found = html.blocks(f"<html><head><title>Title</title></head><body>{page}</body></html>")
+    main = [b.text for b, keep in zip(found, net.label([html.Features().of(found)])[0], strict=True) if keep]
+    assert "\n".join(main).startswith(begin) and len(main) == n and not any("Home" in x or "Copyright" in x for x in main)
+
+
+def test_open_elements_swallow_nothing():
+    for tag in ("canvas", "object", "select", "svg", "math", "annotation"):
+        assert text_of(f"<p>one</p><{tag}><p>two</p>") == ["one", "two"], tag
+    assert text_of("<p>one</p><select><option>no</select><canvas>no</canvas><p>two") == ["one", "two"]
+    assert text_of("<p>a <math><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></math> b") == ["a x2 b"]
