@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import stored
+
 UNIT = 1_000_000
 #: The world's cell is 2 ** ROOT_BITS units wide; cells are split by 2 ** STEP_BITS in each direction.
 ROOT_BITS, STEP_BITS = 30, 2
@@ -106,7 +108,7 @@ def zones_at(points: DataFrame, polygons: DataFrame | None = None, cells: DataFr
     none; rows with one id must be one point.
     """
     if cells is None:
-        cells = cover(polygons)
+        cells = stored(cover(polygons), "zone-cells")
     # A row for each size of cell: nine at most.
     sizes = cells.groupBy("level").agg(F.max(F.shiftleft(F.col("cx"), 1) * F.pow(F.lit(2.0), F.col("level") - 1)).alias("east")).collect()
     around = any(r["east"] + (1 << r["level"]) > TURN for r in sizes)
