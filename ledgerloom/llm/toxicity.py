@@ -7,7 +7,7 @@ than the other has. Every level is interpolated, and a class's words add up to o
 
 Most words of a toxic text are ordinary. Its likelihood is that of words of which a part of SHARE is drawn from the toxic
 model and the rest from the ordinary one; words that neither class marks then say next to nothing, where plain ratios
-would add up their noise (on sf0.1 the area under the curve of held-out documents is 0.96, not 0.80).
+would add up their noise (on sf0.1 the area under the curve of held-out documents is 0.95, not 0.80).
 
 A text's score comes from both log-likelihoods of its different words: their difference for each word, and over the root
 of the number of words (a short text's varies more). A logistic regression on these two, fitted on labelled documents
