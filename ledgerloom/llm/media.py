@@ -1,7 +1,8 @@
 """Media columns: payloads in ISO media containers, and what a box walk tells of them.
 
 A payload becomes a file of one raw 8-bit video track: 24 x 24 samples a frame (576 bytes), a key frame at the start
-of each chunk. Reading walks nested boxes and decodes the sample tables; frames are never decoded.
+of each chunk. Reading walks nested boxes and decodes the sample tables, those of fragments too; frames are never
+decoded. A track lasts as long as its samples do, whatever its header says.
 
 Defined results: null text is empty; an empty text has one frame of padding; equal texts give equal bytes; columns
 other than doc_id and text are ignored; repeated rows are kept; an empty table gives no rows.
@@ -105,36 +106,95 @@ def _numbers(data: memoryview, at: int, kind: str) -> np.ndarray:
     return np.frombuffer(data, ">u8" if "u8" in kind else ">u4", n * (1 if "u8" in kind else per), at + 4).astype(np.int64).reshape(n, -1)
 
 
-def read_container(file: bytes) -> tuple[dict, list[tuple[int, int]]]:
-    """What the tables of the first track say, and the byte ranges of its chunks in order."""
-    data = memoryview(file)
-    found: dict[bytes, tuple[int, int]] = {}
-    codec = None
-    for path, start, end in boxes(data):
-        found.setdefault(path[-1], (start, end))
-        if len(path) > 1 and path[-2] == b"stsd" and codec is None:
-            codec, entry = path[-1], start
-    at = {k: v[0] for k, v in found.items()}
-    if data[at[b"mdhd"]] == 1:
-        scale, length = struct.unpack_from(">IQ", data, at[b"mdhd"] + 20)
-    else:
-        scale, length = struct.unpack_from(">II", data, at[b"mdhd"] + 12)
+def _table_samples(data: memoryview, at: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, size, duration, key frame) of each sample of the track's own tables, and how many each chunk has."""
     size, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
     sizes = np.full(n, size, np.int64) if size else np.frombuffer(data, ">u4", n, at[b"stsz"] + 12).astype(np.int64)
+    times = _numbers(data, at[b"stts"] + 4, "u4u4")
+    lasts = np.repeat(times[:, 1], times[:, 0])
     starts = (_numbers(data, at[b"co64"] + 4, "u8") if b"co64" in at else _numbers(data, at[b"stco"] + 4, "u4"))[:, 0]
     runs = _numbers(data, at[b"stsc"] + 4, "u4u4u4")
     spans = np.diff(np.append(runs[:, 0], len(starts) + 1))
     per_chunk = np.repeat(runs[:, 1], spans)
-    chunk_of = np.repeat(np.arange(len(starts)), per_chunk)
+    if not len(sizes) == len(lasts) == per_chunk.sum():
+        raise ValueError("the sample tables don't agree")
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
-    offsets = starts[chunk_of] + before - before[first[chunk_of]]
-    keys = _numbers(data, at[b"stss"] + 4, "u4")[:, 0] - 1 if b"stss" in at else np.arange(n)
+    offsets = np.repeat(starts, per_chunk) + before - before[np.repeat(first, per_chunk)]
+    keys = np.zeros(n, np.int64) if b"stss" in at else np.ones(n, np.int64)
+    if b"stss" in at:
+        keys[_numbers(data, at[b"stss"] + 4, "u4")[:, 0] - 1] = 1
+    return np.stack([offsets, sizes, lasts, keys], 1), per_chunk
+
+
+#: Fields of a fragment's header that may stand before its defaults, and of a run's entries: flag and bytes.
+HEADER_FIELDS, DEFAULTS, ENTRY_FIELDS = ((0x1, 8), (0x2, 4)), (0x8, 0x10, 0x20), (0x100, 0x200, 0x400, 0x800)
+#: Set in a sample's flags where it is no key frame.
+NOT_KEY = 0x10000
+
+
+def _fragment_samples(data: memoryview, track: int, found: list[tuple[tuple[bytes, ...], int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the track's runs in fragments, each run as a chunk."""
+    usual = next((struct.unpack_from(">III", data, start + 12) for path, start, _ in found if path[-1] == b"trex" and struct.unpack_from(">I", data, start + 4)[0] == track), (0, 0, 0))
+    samples, per_chunk = [], []
+    moof = base = end_of_run = 0
+    mine, own = False, [0, 0, 0]
+    for path, start, _ in found:
+        if path[-1] == b"moof":
+            moof = end_of_run = start - (8 if data[start - 4 : start] == b"moof" else 16)
+        elif path[-2:] == (b"traf", b"tfhd"):
+            flags, of = struct.unpack_from(">II", data, start)
+            mine, at, own = of == track, start + 8, list(usual)
+            base = moof if flags & 0x20000 or not flags & 0x1 else struct.unpack_from(">Q", data, at)[0]
+            end_of_run = base
+            at += sum(n for flag, n in HEADER_FIELDS if flags & flag)
+            for k, flag in enumerate(DEFAULTS):
+                if flags & flag:
+                    own[k] = struct.unpack_from(">I", data, at)[0]
+                    at += 4
+        elif path[-2:] == (b"traf", b"trun") and mine:
+            flags, n = struct.unpack_from(">II", data, start)
+            flags, at = flags & 0xFFFFFF, start + 8
+            if flags & 0x1:
+                end_of_run, at = base + struct.unpack_from(">i", data, at)[0], at + 4
+            first = struct.unpack_from(">I", data, at)[0] if flags & 0x4 else None
+            at += 4 if flags & 0x4 else 0
+            given = [f for f in ENTRY_FIELDS if flags & f]
+            entries = np.frombuffer(data, ">u4", n * len(given), at).astype(np.int64).reshape(n, len(given))
+            lasts, sizes, kinds = (entries[:, given.index(f)] if f in given else np.full(n, own[k], np.int64) for k, f in enumerate(ENTRY_FIELDS[:3]))
+            kinds = kinds.copy()
+            if first is not None and n:
+                kinds[0] = first
+            samples.append(np.stack([end_of_run + np.cumsum(sizes) - sizes, sizes, lasts, (kinds & NOT_KEY) == 0], 1))
+            per_chunk.append(n)
+            end_of_run += int(sizes.sum())
+    return np.concatenate([np.zeros((0, 4), np.int64), *samples]), np.array(per_chunk, np.int64)
+
+
+def read_container(file: bytes) -> tuple[dict, list[tuple[int, int]]]:
+    """What the tables and fragments of the first track say, and the byte ranges of its chunks in order."""
+    data = memoryview(file)
+    found = list(boxes(data))
+    at: dict[bytes, int] = {}
+    codec = None
+    for path, start, _ in found:
+        at.setdefault(path[-1], start)
+        if len(path) > 1 and path[-2] == b"stsd" and codec is None:
+            codec, entry = path[-1], start
+    scale = struct.unpack_from(">I", data, at[b"mdhd"] + (20 if data[at[b"mdhd"]] == 1 else 12))[0]
+    track = struct.unpack_from(">I", data, at[b"tkhd"] + (20 if data[at[b"tkhd"]] == 1 else 12))[0]
+    parts = [_table_samples(data, at), _fragment_samples(data, track, found)]
+    samples, per_chunk = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    per_chunk = per_chunk[per_chunk > 0]
+    offsets, sizes, lasts, keys = samples.T
+    keys = np.flatnonzero(keys)
+    times = np.cumsum(lasts) - lasts
     width, height = struct.unpack_from(">HH", data, entry + 24)
     feature = {
-        "codec": codec.decode("latin-1").strip(), "width": width, "height": height, "timescale": scale, "duration": length, "frames": int(n),
-        "keyframes": [[int(a), int(b)] for a, b in zip(offsets[keys], sizes[keys], strict=True)],
+        "codec": codec.decode("latin-1").strip(), "width": width, "height": height, "timescale": scale, "duration": int(lasts.sum()), "frames": len(sizes),
+        "keyframes": [[int(a), int(b)] for a, b in zip(offsets[keys], sizes[keys], strict=True)], "keyframe_times": times[keys].tolist(),
     }
+    first = np.cumsum(per_chunk) - per_chunk
     ends = offsets + sizes
     return feature, [(int(offsets[a]), int(ends[a + c - 1])) for a, c in zip(first, per_chunk, strict=True)]
 
