@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.base import slices, staged, table
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, looked_up
 
 SHINGLE = 4
 SEED = 42
@@ -262,13 +262,14 @@ def labelled(docs: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFra
     """(doc_id, same, fp, component_id, root) of each row: same is a hash of its text; root is its component's least
     fingerprint, which tells components without ids apart."""
     prints = staged(fingerprints(docs), "fingerprints")
-    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     found = components(links(classes.select("fp"), node, stride))
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     joined = classes.join(found.withColumnRenamed("node", "fp"), "fp")
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = staged(joined.join(least, "root").select("fp", "component_id", "root"), "linked")
-    of_class = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return prints.join(of_class, "fp")
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    linked = staged(looked_up(joined, least, "root", "members", n_classes).select("fp", "component_id", "root"), "linked")
+    of_class = classes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return looked_up(prints, of_class, "fp", "n", n_rows)
 
 
 def near_duplicates(docs: DataFrame, node: int = NODE, stride: int = STRIDE) -> DataFrame:

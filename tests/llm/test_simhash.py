@@ -5,7 +5,7 @@ import xxhash
 from conftest import ODD
 
 from ledgerloom.llm import simhash
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, looked_up
 
 
 def brute_print(text):
@@ -81,3 +81,22 @@ def test_whole_table(spark):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert got == sorted(brute_components([(r[0], brute_print(r[1])) for r in rows]))
     assert any(d != c for d, _, c in got)
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), "id")
+    known = rows.filter("k <> 8").groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
+    got = looked_up(rows, known, "k", "n", rows.count())
+    want = rows.join(known.drop("n"), "k")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 19_999
+
+
+def test_a_hub_with_many_links(spark):
+    from pyspark.sql import functions as F
+
+    hub = spark.range(1, 9_000).select(F.lit(5_000).alias("a"), F.col("id").alias("b"))
+    chain = spark.range(10_000, 10_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r["node"]: r["root"] for r in components(hub.unionByName(chain)).collect()}
+    assert got == {**dict.fromkeys(range(1, 9_000), 1), **dict.fromkeys(range(10_000, 10_041), 10_000)}
