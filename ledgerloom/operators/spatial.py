@@ -53,9 +53,15 @@ def nearest_place(points: DataFrame, places: DataFrame, most_km: float, cell: fl
     return points.select("id").join(best, "id", "left")
 
 
-def nearest_vector(queries: DataFrame, references: DataFrame) -> DataFrame:
+#: References that each task may hold.
+MOST_REFERENCES = 10_000
+
+
+def nearest_vector(queries: DataFrame, references: DataFrame, most: int = MOST_REFERENCES) -> DataFrame:
     """queries and references (id, v array<double>): the reference with the least squared distance, rounded to four
-    places, ties by id. References are a small stated set."""
-    r = references.select(F.col("id").alias("ref_id"), F.col("v").alias("_v"))
+    places, ties by id. References are a small stated set: more than `most` of them are an error, as each task has them all."""
+    if references.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} references")
+    r = F.broadcast(references.select(F.col("id").alias("ref_id"), F.col("v").alias("_v")))
     d = F.round(F.aggregate(F.zip_with("v", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 4)
     return queries.join(r).withColumn("_d", d).groupBy("id").agg(F.min(F.struct("_d", "ref_id")).alias("_b")).select("id", F.col("_b.ref_id").alias("ref_id"), F.col("_b._d").alias("distance"))

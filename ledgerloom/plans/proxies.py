@@ -207,7 +207,7 @@ def tz_project(events):
 SELECT id, ref_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ref_id) AS k FROM p) WHERE k = 1""", "embeddings")
 def nearest_reference(embeddings):
     v = embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return spatial.nearest_vector(v, F.broadcast(v.filter("id < 20")))  # twenty references
+    return spatial.nearest_vector(v, v.filter("id < 20"))  # twenty references
 
 
 @query("SELECT p_partkey, p_brand, p_type FROM part p WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_size = 1 AND q.p_brand = p.p_brand AND q.p_type = p.p_type)", "part")

@@ -100,3 +100,17 @@ def test_catalogue(spark):
     dec = spark.createDataFrame([("a", 1, "title", "old"), ("a", 2, "title", "new")], "asset_id string, decision_seq int, field string, value string")
     got = {r["asset_id"]: (r["sha256"], r["decided"]) for r in catalogue.build(rev, dec).collect()}
     assert got == {"a": ("y", {"title": "new"}), "b": ("z", None)}
+
+
+def test_binding_conflicts_with_nulls(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, "b", "x"), (None, "a", "x"), (None, "a", "z"), (None, "a", None), (2, "a", None), (2, "a", "x")]
+    got = integrity.binding_conflicts(spark.createDataFrame(rows, "k long, j string, v string"), ["k", "j"], "v").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "a", 2, 2), (None, "a", 2, 3)]
+
+
+def test_nearest_vector_is_for_few_references(spark):
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id long, v array<double>")
+    got = spatial.nearest_vector(v, v.filter("id in (0, 4)"), 2).collect()
+    assert sorted((r["id"], r["ref_id"], r["distance"]) for r in got) == [(0, 0, 0.0), (1, 0, 1.0), (2, 0, 4.0), (3, 4, 1.0), (4, 4, 0.0)]
+    with pytest.raises(ValueError):
+        spatial.nearest_vector(v, v, 4)
