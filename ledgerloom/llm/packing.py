@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.base import slices, staged, table
+from ledgerloom.llm.base import release, slices, staged, table
 from ledgerloom.llm.tokens import PieceEncoder, blobs, ended
 
 CAPACITY = 2048
@@ -28,6 +28,8 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Pieces of one length that one task ranks, about.
 RANKED_AT_ONCE = 200_000
+#: Texts that are encoded at once: what that takes is many times as much.
+TEXT_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -100,19 +102,23 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return out, made
 
 
+def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches with doc_id and text, of TEXT_BYTES of texts at once."""
+    release()  # what earlier stages left in this process
+    encoder = PieceEncoder.shared(tokenizer)
+    for batch in slices(batches, "text", TEXT_BYTES):
+        ids, n = ended(*encoder.encode(batch.column("text")), end_id)
+        pieces = -(-n // capacity)
+        doc = np.repeat(np.arange(len(n)), pieces)
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(capacity, n[doc] - number * capacity)
+        yield pa.record_batch([batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size), blobs(ids, size)], ["doc_id", "piece", "start", "length", "ids"])
+        release()
+
+
 def tokenize(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most `capacity` ids, cut from each text's ids and the end id; ids are packed 32-bit integers."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.shared(tokenizer)
-        for batch in slices(batches, "text", 16 << 20):
-            ids, n = ended(*encoder.encode(batch.column("text")), end_id)
-            pieces = -(-n // capacity)
-            doc = np.repeat(np.arange(len(n)), pieces)
-            number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            size = np.minimum(capacity, n[doc] - number * capacity)
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(number * capacity), pa.array(size), blobs(ids, size)], ["doc_id", "piece", "start", "length", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: cut_pieces(batches, tokenizer, end_id, capacity), PIECES)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -51,6 +51,16 @@ def test_plans():
             assert -(-sum(lengths) // capacity) <= made <= best_fit(lengths, capacity) * 1.02 + 1, (capacity, kind)
 
 
+def test_few_texts_are_encoded_at_once():
+    import pyarrow as pa
+
+    texts = [f"some words {k} of a text " * 100 for k in range(4000)]
+    batch = pa.record_batch([pa.array(range(4000)), pa.array(texts)], ["doc_id", "text"])
+    made = list(packing.cut_pieces(iter([batch])))
+    assert all(sum(len(texts[d]) for d in set(b.column("doc_id").to_pylist())) <= 4 << 20 for b in made)
+    assert sorted({d for b in made for d in b.column("doc_id").to_pylist()}) == list(range(4000))
+
+
 def brute(rows):
     t = Tokenizer.from_file(packing.TOKENIZER)
     out = []
