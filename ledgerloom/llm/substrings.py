@@ -73,6 +73,17 @@ def mixed(x: np.ndarray, order: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def places_by(values: np.ndarray, bits: int) -> np.ndarray:
+    """The places in the order of values of so many bits, of equals the first first. Where the place fits beside the
+    value, numbers are sorted and not places, which is several times as fast."""
+    room = len(values).bit_length()
+    if bits + room > 64:
+        return np.argsort(values, kind="stable")
+    both = values << np.uint64(room) | np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << room) - 1)).astype(np.int64)
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """The place of the least value (the first of equals) of each stretch of that width.
 
@@ -121,9 +132,9 @@ def compact_windows(values: np.ndarray, doc: np.ndarray, least: int = LEAST) ->
         return none
     new = np.flatnonzero(np.concatenate([[True], np.diff(at) != 0]))
     c, last = at[new], start[np.append(new[1:], len(at)) - 1]
-    own, bits = doc[c], values[c] & ~np.uint64((1 << 24) - 1)
+    own = doc[c]
     order = np.empty(len(c), np.int64)
-    order[np.argsort(bits, kind="stable")] = np.arange(len(c))  # ties: the first is the smaller
+    order[places_by(values[c] >> np.uint64(24), 40)] = np.arange(len(c))  # ties: the first is the smaller
     starts, ends = np.searchsorted(doc, own), np.searchsorted(doc, own, "right") - 1
     left = _nearest_smaller(order, own)
     right = len(c) - 1 - _nearest_smaller(order[::-1], own[::-1])[::-1]
@@ -150,7 +161,7 @@ class Shingled:
         self.values = shingle_hashes(words[tokens])[starts[self.doc] + self.place] if len(self.doc) else np.zeros(0, np.uint64)
         self.ids = np.array([0 if d is None else d for d in row["doc_ids"]], np.int64)
         key = self.values >> np.uint64(64 - bits)
-        self.order = np.argsort(key, kind="stable")
+        self.order = places_by(key, bits)
         key = key[self.order]
         self.new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         first = np.flatnonzero(self.new)
@@ -336,16 +347,39 @@ def _spans(column: pa.ListArray) -> list[np.ndarray]:
     return [merged(both[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _places(x: np.ndarray, y: np.ndarray, order: np.ndarray, ranked: np.ndarray) -> np.ndarray:
-    """A place in y (ranked = y[order], ascending) for each shingle of x, -1 for none. Of several, the one that goes on
-    from a neighbour's, or else the first of those that agree furthest, up to LEAST."""
-    low = np.searchsorted(ranked, x)
-    there = np.minimum(low, len(y) - 1)
-    place = np.where(ranked[there] == x, order[there], -1)
-    if not (ranked[1:] == ranked[:-1]).any():
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places by value, the values in that order, and for each place the one before it with its value, -1 for none."""
+    order = np.argsort(x, kind="stable")
+    ranked = x[order]
+    again = np.flatnonzero(ranked[1:] == ranked[:-1])
+    before = np.full(len(x), -1)
+    before[order[again + 1]] = order[again]
+    return order, ranked, before
+
+
+def fewest_kinds(before: np.ndarray, size: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """How many different shingles each part has in any stretch of `least` at least; if it is shorter, more than can be.
+
+    before: the place before each that has its shingle in the same part, -1 for none; parts of these sizes are in a row.
+    """
+    at = np.cumsum(size) - size
+    place, begin, end = np.arange(len(before)), np.repeat(at, size), np.repeat(at + size, size)
+    # A place is the first of its shingle in the stretches that begin from here to it.
+    first = np.maximum(np.maximum(before + 1, place - least + 1), begin)
+    kinds = np.cumsum(np.bincount(first, minlength=len(before))) - place
+    kinds[place > end - least] = 1 << 40
+    return np.minimum.reduceat(kinds, at)
+
+
+def _places(x: np.ndarray, y: np.ndarray, order: np.ndarray, ranked: np.ndarray, low: np.ndarray, there: np.ndarray, once: bool) -> np.ndarray:
+    """A place in y (ranked = y[order], ascending) for each shingle of x (there: it is at ranked[low]), -1 for none. Of
+    several (none if each is in y once), the one that goes on from a neighbour's, or else the first of those that agree
+    furthest, up to LEAST."""
+    place = np.where(there, order[low], -1)
+    if once:
         return place
     high = np.searchsorted(ranked, x, "right")
-    several = np.flatnonzero(high > low + 1)
+    several = np.flatnonzero(there & (high > low + 1))
     if not len(several):
         return place
     place[several] = -2
@@ -381,26 +415,33 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
         return []
     if len(x) == len(y) and np.array_equal(x, y):
         return [(0, len(x), 0, len(y), 1.0)]
-    order = np.argsort(y, kind="stable")
-    ranked, own = y[order], np.sort(x)
-    plain = not (ranked[1:] == ranked[:-1]).any() and not (own[1:] == own[:-1]).any()
-    place = _places(x, y, order, ranked)
-    hit = np.flatnonzero(place >= 0)
-    if len(hit) < similar * least:
+    order, ranked, before_y = _order(y)
+    low = np.minimum(np.searchsorted(ranked, x), len(y) - 1)
+    there = ranked[low] == x
+    if np.count_nonzero(there) < similar * least:
         return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(place[hit]) != 1)]))
-    begin, size = hit[new], np.diff(np.append(new, len(hit)))
-    total = np.concatenate([[0], np.cumsum(size)])
+    before_x, once = _order(x)[2], (before_y < 0).all()
+    plain = bool(once and (before_x < 0).all())
+    if not plain:  # two passages have at least so many shingles, and no more in common than x and y
+        kinds = sum(int(fewest_kinds(b, np.array([len(b)]), least)[0]) for b in (before_x, before_y))
+        if (1 + similar) * np.count_nonzero(there & (before_x < 0)) < similar * kinds - 1e-6:
+            return []
+    place = _places(x, y, order, ranked, low, there, once)
+    hit = np.flatnonzero(there)
+    on = place[hit]
+    new = np.concatenate([[0], np.flatnonzero((hit[1:] != hit[:-1] + 1) | (on[1:] != on[:-1] + 1)) + 1])
+    total = np.append(new, len(hit))
+    begin, size = hit[new], total[1:] - total[:-1]
     cost = similar / (1 - similar)
     gain = (1 + cost) * total[1:] - cost * (begin + size)
     reach, level = np.maximum.accumulate(gain[::-1])[::-1].tolist(), ((1 + cost) * total[:-1] - cost * begin - 1e-6).tolist()
     #: Distinct shingles before each place.
-    kinds = [range(len(x) + 1), range(len(y) + 1)] if plain else []
-    for v in () if plain else (x, y):
-        first = np.zeros(len(v) + 1, np.int64)
-        first[np.unique(v, return_index=True)[1] + 1] = 1
-        kinds.append(np.cumsum(first).tolist())
-    of_x, of_y = kinds
+    of_x, of_y = [range(len(b) + 1) if plain else [0, *np.cumsum(b < 0).tolist()] for b in (before_x, before_y)]
+    if not plain:  # the same number for the same shingle, in x the last one for those that y hasn't
+        number = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+        of = np.empty(len(y), np.int64)
+        of[order] = number
+        in_y, mine = np.zeros(number[-1] + 2, bool), np.where(there, number[low], number[-1] + 1)
     starts, ends, lows, highs = begin.tolist(), (begin + size).tolist(), place[begin].tolist(), (place[begin] + size).tolist()
     sizes, before = size.tolist(), total.tolist()
 
@@ -446,8 +487,11 @@ def agreeing(x: np.ndarray, y: np.ndarray, least: int = LEAST, similar: float =
                 if plain:
                     left, right, both = j - i, q - p, int(np.count_nonzero((place[i:j] >= p) & (place[i:j] < q)))
                 else:
-                    left, right = len(of_i := np.unique(x[i:j])), len(of_p := np.unique(y[p:q]))
-                    both = len(np.intersect1d(of_i, of_p, True))
+                    first = before_x[i:j] < i
+                    left, right = int(np.count_nonzero(first)), int(np.count_nonzero(before_y[p:q] < p))
+                    in_y[of[p:q]] = True
+                    both = int(np.count_nonzero(in_y[mine[i:j]] & first))
+                    in_y[:] = False
                 s = both / (left + right - both)
                 if s >= similar:
                     out.append((i, j, p, q, s))
@@ -511,14 +555,14 @@ def verified(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 MEMBERS = "bucket int, keys binary, docs binary, begins binary, runs binary, sizes binary, values binary"
 
 
-def open_groups(windows: DataFrame, beside: DataFrame, found: DataFrame) -> DataFrame:
+def open_groups(grouped: DataFrame, found: DataFrame) -> DataFrame:
     """(doc, keys, spans, runs) of the groups that have open members: those with no found passage around a stretch of
     their run. Each group's members up to the last open one; a run of -1 stands for one that isn't open."""
     covered = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.expr(f"cast(start_word as long) << 32 | (end_word - {SHINGLE})")).alias("covered"))
     is_open = f"not coalesce(exists(covered, c -> greatest(run >> 32, c >> 32) + {LEAST - 1} <= least((run & 4294967295) + {LEAST - 1}, c & 4294967295)), false)"
     # A group of two windows has been compared.
-    last = beside.filter("n > 2").select("key", "doc", "run").join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
-    members = windows.join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
+    last = grouped.filter("n > 2 and doc > other").select("key", "doc", "run").join(covered, "doc", "left").filter(is_open).groupBy("key").agg(F.max("doc").alias("last"))
+    members = grouped.filter("n > 2").select("key", "doc", "span", "run").join(last, "key").filter("doc <= last").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("span").alias("spans"), F.collect_list("run").alias("runs"))
     members = members.join(covered, "doc", "left").withColumn("runs", F.expr(f"transform(runs, run -> if({is_open}, run, -1L))"))
     return members.drop("covered")
 
@@ -576,51 +620,84 @@ def possible(place: np.ndarray, plain: np.ndarray, first: int, last: int) -> np.
     return (has[:, ends] & (total[:, ends] - lowest[:, begins] + 1 >= -1e-6)).any(axis=1)
 
 
-def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: list[np.ndarray]) -> list[tuple]:
-    """Passages of a group's open members: each is compared with all before it, those with most in common first, until
-    one has a stretch of its run. Members come sorted by document. Those with the same interval are one: the later
-    ones have all of the first's."""
+def settled(doc: np.ndarray, begin: np.ndarray, stretches: np.ndarray, parts: list[np.ndarray], group: np.ndarray | None = None) -> list[tuple]:
+    """Passages of groups' open members: each is compared with all of its group before it, those with most in common
+    first, until one has a stretch of its run. Members come sorted by group and document. Those with the same interval
+    are one: the later ones have all of the first's."""
+    group = np.zeros(len(doc), np.int64) if group is None else group
     out, firsts, seen = [], [], {}
-    for k, p in enumerate(parts):
-        o = seen.setdefault(p.tobytes(), k)
+    for k, (p, g) in enumerate(zip(parts, group.tolist(), strict=True)):
+        o = seen.setdefault((g, p.tobytes()), k)
         if o == k:
             firsts.append(k)
         elif stretches[k] >= 0 and doc[o] < doc[k]:
             out.append((int(doc[k]), int(begin[k]), int(begin[k]) + len(p) - 1 + SHINGLE, int(doc[o]), int(begin[o]), int(begin[o]) + len(p) - 1 + SHINGLE, 1.0))
-    doc, begin, stretches, parts = doc[firsts], begin[firsts], stretches[firsts], [parts[k] for k in firsts]
+    doc, begin, stretches, group, parts = doc[firsts], begin[firsts], stretches[firsts], group[firsts], [parts[k] for k in firsts]
     size = np.array([len(p) for p in parts])
-    at = np.concatenate([[0], np.cumsum(size)])
-    kind = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    pair, spot_of = np.unique(kind * len(parts) + np.repeat(np.arange(len(parts)), size), return_index=True)
-    member, cuts = pair % len(parts), np.searchsorted(pair // len(parts), np.arange(int(kind.max()) + 2))
-    spot_of = (spot_of - at[member]).astype(np.int32)
-    plain = np.bincount(member, minlength=len(parts)) == size
-    for k in np.flatnonzero(stretches >= 0).tolist():
-        before = int(np.searchsorted(doc, doc[k]))
-        if not before:
-            continue
-        low, n = cuts[kind[at[k] : at[k + 1]]], cuts[kind[at[k] : at[k + 1]] + 1] - cuts[kind[at[k] : at[k + 1]]]
-        entry, spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n), np.repeat(np.arange(size[k]), n)
-        has = member[entry]
-        same = np.bincount(has, minlength=len(parts))[:before]
-        likely = np.flatnonzero(same >= SIMILAR * LEAST)
-        likely = likely[np.argsort(-same[likely], kind="stable")]
-        first, last = (int(v) - int(begin[k]) for v in (stretches[k] >> 32, stretches[k] & 0xFFFFFFFF))
-        done, a = False, 0
-        while a < len(likely) and not done:
-            block = likely[a : a + (64 if not a else max(1, (1 << 20) // int(size[k])))]
-            a += len(block)
-            row = np.full(len(parts), -1)
-            row[block] = np.arange(len(block))
-            mine = row[has] >= 0
-            place = np.full((len(block), int(size[k])), -1, np.int32)
-            place[row[has[mine]], spot[mine]] = spot_of[entry[mine]]
-            for o in block[possible(place, plain[block] & plain[k], first, last)].tolist():
-                for i, j, p, q, s in agreeing(parts[k], parts[o]):
-                    out.append((int(doc[k]), int(begin[k]) + i, int(begin[k]) + j - 1 + SHINGLE, int(doc[o]), int(begin[o]) + p, int(begin[o]) + q - 1 + SHINGLE, s))
-                    done |= max(first, i) <= min(last, j - LEAST)
-                if done:
-                    break
+    at = np.cumsum(size) - size
+    # A kind is a shingle in a group; pairs are kinds by member, each with the first place there.
+    whose = np.repeat(np.arange(len(parts)), size)
+    value = (group - group[0])[whose].astype(np.uint64) << np.uint64(32) | np.concatenate(parts)
+    order = places_by(value, 32 + int(group[-1] - group[0]).bit_length())
+    value, by = value[order], whose[order]
+    new_kind = np.concatenate([[True], value[1:] != value[:-1]])
+    new = new_kind | np.concatenate([[True], by[1:] != by[:-1]])
+    earlier, number, first = np.full(len(order), -1), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    again = np.flatnonzero(~new)
+    earlier[order[again]] = order[again - 1]
+    number[order] = np.cumsum(new) - 1  # of the place's pair
+    cuts = np.flatnonzero(new_kind[new])
+    first[order] = cuts[np.cumsum(new_kind) - 1]  # the first pair of its kind
+    member, spot_of = by[new], (order[new] - at[by[new]]).astype(np.int32)
+    plain, fewest = np.bincount(member, minlength=len(parts)) == size, fewest_kinds(earlier, size)
+    # The members from head to before are a member's earlier ones.
+    fresh = np.concatenate([[True], group[1:] != group[:-1]])
+    heads = np.maximum.accumulate(np.where(fresh, np.arange(len(parts)), 0))
+    befores = np.maximum.accumulate(np.where(fresh | np.concatenate([[True], doc[1:] != doc[:-1]]), np.arange(len(parts)), 0))
+    todo = np.flatnonzero((stretches >= 0) & (befores > heads))
+    work = np.cumsum(np.add.reduceat(number - first, at)[todo] + befores[todo] - heads[todo])
+    while len(todo):
+        count = max(1, int(np.searchsorted(work, 1 << 20, "right")))
+        these, todo, work = todo[:count], todo[count:], work[count:] - work[count - 1]
+        # Entries: a place of a member and an earlier member's pair of its kind.
+        row = np.repeat(np.arange(count), size[these])
+        spot = np.arange(len(row)) - np.repeat(np.cumsum(size[these]) - size[these], size[these])
+        place = at[these][row] + spot
+        n = number[place] - first[place]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[place], n)
+        row, spot, once, has = np.repeat(row, n), np.repeat(spot, n), np.repeat(earlier[place] < 0, n), member[entry]
+        keep = has < befores[these][row]
+        row, spot, once, has, entry = row[keep], spot[keep], once[keep], has[keep], entry[keep]
+        wide = befores[these] - heads[these]
+        edges = np.concatenate([[0], np.cumsum(wide)])
+        cell = (edges[:-1] - heads[these])[row] + has
+        same, kinds = np.bincount(cell, minlength=edges[-1]), np.bincount(cell[once], minlength=edges[-1])
+        other = np.arange(edges[-1]) + np.repeat(heads[these] - edges[:-1], wide)
+        # Passages of both have these many shingles at least, and no more in common than both members.
+        fit = np.flatnonzero((same >= SIMILAR * LEAST) & ((1 + SIMILAR) * kinds >= SIMILAR * (np.repeat(fewest[these], wide) + fewest[other]) - 1e-6))
+        fits, entries = np.searchsorted(fit, edges), np.searchsorted(row, np.arange(count + 1))
+        for r in np.flatnonzero(fits[1:] > fits[:-1]).tolist():
+            k, head = int(these[r]), int(heads[these[r]])
+            likely = fit[fits[r] : fits[r + 1]]
+            likely = other[likely[np.argsort(-same[likely], kind="stable")]]
+            own = slice(entries[r], entries[r + 1])
+            low, high = (int(v) - int(begin[k]) for v in (stretches[k] >> 32, stretches[k] & 0xFFFFFFFF))
+            done, a = False, 0
+            while a < len(likely) and not done:
+                block = likely[a : a + (8 if not a else max(1, (1 << 20) // int(size[k])))]
+                a += len(block)
+                line = np.full(wide[r], -1)
+                line[block - head] = np.arange(len(block))
+                line = line[has[own] - head]
+                mine = np.flatnonzero(line >= 0)
+                places = np.full((len(block), int(size[k])), -1, np.int32)
+                places[line[mine], spot[own][mine]] = spot_of[entry[own][mine]]
+                for o in block[possible(places, plain[block] & plain[k], low, high)].tolist():
+                    for i, j, p, q, s in agreeing(parts[k], parts[o]):
+                        out.append((int(doc[k]), int(begin[k]) + i, int(begin[k]) + j - 1 + SHINGLE, int(doc[o]), int(begin[o]) + p, int(begin[o]) + q - 1 + SHINGLE, s))
+                        done |= max(low, i) <= min(high, j - LEAST)
+                    if done:
+                        break
     return out
 
 
@@ -632,12 +709,20 @@ def settled_passages(members: DataFrame) -> DataFrame:
         values = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("values").to_pylist()])
         at = np.cumsum(size) - size
         rank = np.lexsort((begin, doc, key))
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[rank]) != 0, [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[rank]) != 0]))
+        group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, len(rank))))
+        is_open = np.maximum.reduceat(stretches[rank], edges)[group] >= 0
+        rank, group = rank[is_open], group[is_open]
+        # Groups together, of about so many shingles; a larger one is alone.
+        edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(rank) else np.zeros(0, np.int64)
+        through, a = np.cumsum(size[rank]), 0
         found: set[tuple] = set()
-        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+        while a < len(rank):
+            done = through[a - 1] if a else 0
+            b = int(edges[max(np.searchsorted(edges, a) + 1, np.searchsorted(edges, np.searchsorted(through, done + TOGETHER, "right"), "right") - 1)])
             pick = rank[a:b]
-            if (stretches[pick] >= 0).any():
-                found.update(settled(doc[pick], begin[pick], stretches[pick], [values[at[k] : at[k] + size[k]] for k in pick.tolist()]))
+            found.update(settled(doc[pick], begin[pick], stretches[pick], [values[at[k] : at[k] + size[k]] for k in pick.tolist()], group[a:b]))
+            a = b
         pa.default_memory_pool().release_unused()  # of the bucket before
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
         cols = list(zip(*found, strict=True)) or [()] * 7
@@ -659,10 +744,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     discard(chunked)
     windows = made.filter("key is not null").select("doc", "key", "span", "run")
     parts = made.filter("values is not null").groupBy("doc").agg(F.collect_list(F.struct("begin", "values")).alias("regions"))
-    beside = staged(windows.join(groups_of(windows), "key").filter("doc > other"), "beside")
-    found = staged(verified(staged(candidates(beside), "candidates"), parts), "passages")
-    members = staged(open_groups(windows, beside, found), "members")
-    discard(beside)
+    # Least documents' windows too, where the last step may need them.
+    grouped = staged(windows.join(groups_of(windows), "key").filter("doc > other or n > 2"), "grouped")
+    found = staged(verified(staged(candidates(grouped.filter("doc > other")), "candidates"), parts), "passages")
+    members = staged(open_groups(grouped, found), "members")
+    discard(grouped)
     settled_ones = staged(settled_passages(messages(parts, members, buckets)), "settled")
     discard(made)
     discard(members)

@@ -188,3 +188,66 @@ def test_only_the_repeating_rows_words_go(docs):
     got = sorted((r["doc_id"] or 0, len(r["text"].split())) for r in S.remove_repeats(docs(rows)).collect())
     assert got == [(0, 60), (1, 65), (7, 20), (7, 100), (7, 100), (8, 100)]
     assert S.remove_repeats(docs(rows)).columns == docs(rows).columns
+
+
+def test_fewest_kinds_of_a_stretch():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        parts = [rng.integers(0, rng.integers(2, 40), rng.integers(1, 30)) for _ in range(6)]
+        before, at = [], 0
+        for p in parts:
+            before += [max((at + j for j in range(i) if p[j] == p[i]), default=-1) for i in range(len(p))]
+            at += len(p)
+        got = S.fewest_kinds(np.array(before), np.array([len(p) for p in parts]), 9)
+        for p, n in zip(parts, got.tolist()):
+            assert n > 1 << 30 if len(p) < 9 else n == min(len(set(p[i : i + 9])) for i in range(len(p) - 8))
+
+
+def test_places_by_value():
+    rng = np.random.default_rng(13)
+    for bits in (3, 40, 60, 64):
+        v = rng.integers(0, 1 << bits, 2000, dtype=np.uint64, endpoint=False) if bits < 64 else rng.integers(0, 1 << 62, 2000).astype(np.uint64) << np.uint64(2)
+        v[::7] = v[0]
+        assert S.places_by(v, bits).tolist() == sorted(range(2000), key=lambda k: (v[k], k))
+
+
+def test_texts_of_too_few_common_shingles_are_not_compared(monkeypatch):
+    """Two texts that repeat their 44 shingles, 37 of them the same: 37 of 51 whatever the passage."""
+    rng = np.random.default_rng(14)
+    common = rng.integers(0, 2**32, 37).astype(np.uint32)
+    parts = [np.tile(np.concatenate([common, rng.integers(0, 2**32, 7).astype(np.uint32)]), 20) for _ in range(6)]
+    calls, plain = [], S.agreeing
+    monkeypatch.setattr(S, "agreeing", lambda *a: calls.append(1) or plain(*a))
+    assert not S.settled(np.arange(6), np.zeros(6, np.int64), np.full(6, S.span_of(0, 800)), parts) and not calls
+    assert not plain(parts[0], parts[1])
+    near = parts[0].copy()
+    near[43::44] = 5
+    found = S.settled(np.arange(7), np.zeros(7, np.int64), np.full(7, S.span_of(0, 800)), [*parts, near])
+    assert [(r[0], r[3]) for r in found] == [(6, 0)] and len(calls) == 1
+
+
+def test_groups_together_are_as_groups_alone():
+    rng = np.random.default_rng(15)
+    doc, begin, runs, parts, group, want = [], [], [], [], [], set()
+    for g in range(25):
+        base = rng.integers(0, 2**32, 70).astype(np.uint32)
+        if g % 3 == 0:
+            base[35:] = base[:35]
+        n = int(rng.integers(2, 12))
+        own = []
+        for _ in range(n):
+            p = base.copy()
+            p[rng.choice(70, rng.integers(0, 16), replace=False)] = rng.integers(0, 2**32, 1)
+            own.append(p[int(rng.integers(0, 10)) :])
+        docs, at = np.sort(rng.integers(0, 8, n)), rng.integers(0, 50, n)
+        stretch = np.array([S.span_of(int(a) + 3, int(a) + 12) if rng.random() < 0.7 else -1 for a in at])
+        want |= set(S.settled(docs, at, stretch, own))
+        # Each open member that an earlier document of its group has a passage of, around the run, has one.
+        for k in np.flatnonzero(stretch >= 0).tolist():
+            covers = lambda i, j, k=k: max((int(stretch[k]) >> 32), int(at[k]) + i) <= min(int(stretch[k]) & 0xFFFFFFFF, int(at[k]) + j - S.LEAST)
+            if any(docs[o] < docs[k] and any(covers(i, j) for i, j, *_ in S.agreeing(own[k], own[o])) for o in range(k)):
+                assert any(r[0] == docs[k] and covers(r[1] - at[k], r[2] - S.SHINGLE + 1 - at[k]) for r in want), (g, k)
+        for col, v in ((doc, docs), (begin, at), (runs, stretch), (parts, own), (group, [g] * n)):
+            col.extend(v)
+    got = S.settled(np.array(doc), np.array(begin), np.array(runs), parts, np.array(group))
+    assert set(got) == want and len(want) > 30
