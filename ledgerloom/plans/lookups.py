@@ -51,14 +51,15 @@ _RULES = """SELECT p_partkey AS rule, CASE WHEN p_partkey % 50 = 0 THEN NULL ELS
 
 @query(f"SELECT o_orderkey, count(*) AS n_rules, min(rule) AS first_rule, max(rule) AS last_rule FROM orders JOIN ({_RULES}) ON (a IS NULL OR o_orderdate >= a) AND (b IS NULL OR o_orderdate < b) GROUP BY 1", "orders", "part")
 def rules_at_size(orders, part):
-    """As many rules as parts, some open at an end, without a join column: those in force on each order's date."""
+    """As many rules as parts, some open at an end, without a join column: those in force on each order's date, which are
+    counted without a row for each rule and order."""
     day = lambda n: F.expr(f"timestamp_ntz'1995-01-01' + make_dt_interval(cast({n} as int))")
     kind = F.col("p_partkey") % 50
     start = F.when(kind != 0, day("p_partkey * 7919 % 2400"))
     end = F.when(kind == 0, day("p_partkey % 30")).when(kind != 1, day("p_partkey * 7919 % 2400 + p_size % 7"))
     rules = part.select(F.col("p_partkey").alias("rule"), start.alias("a"), end.alias("b"))
-    found = intervals.interval_join(orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("day")), rules, "day", "a", "b")
-    return found.groupBy("o_orderkey").agg(F.count("*").alias("n_rules"), F.min("rule").alias("first_rule"), F.max("rule").alias("last_rule"))
+    found = intervals.interval_totals(orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("day")), rules, "day", "a", "b", "rule")
+    return found.groupBy("o_orderkey").agg(F.sum("n").alias("n_rules"), F.min("least").alias("first_rule"), F.max("greatest").alias("last_rule"))
 
 
 ZONES = ("Europe/Berlin", "America/New_York", "Australia/Lord_Howe")

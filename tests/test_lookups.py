@@ -97,6 +97,49 @@ def test_intervals(spark, on):
     assert intervals.interval_join(p.limit(0), q, "t", "a", "b", on).count() == 0 == intervals.interval_join(p, q.limit(0), "t", "a", "b", on).count()
 
 
+@pytest.mark.parametrize("kind", ["long", "timestamp_ntz", "timestamp", "date"])
+def test_interval_totals(spark, kind):
+    """Counts, least and greatest against pairs; one time, none, nulls, microseconds at the ends."""
+    r, day = random.Random(7), datetime(2024, 3, 1)
+    value = {"long": lambda n: n, "date": lambda n: (day + timedelta(days=n)).date()}.get(kind, lambda n: day + timedelta(microseconds=n * 1_000_003 if n % 3 else n * 3_600_000_000))
+    some = lambda n: None if n is None else value(n)
+    for size, most in ((300, 3000), (300, 20), (1, 5), (0, 5)):
+        points = [(i, None if i == 7 else value(r.randint(-most, most))) for i in range(size)]
+        rules = [(100 + j, a and some(a[0]), some(r.choice([None, (a or [0])[0] + r.choice([-3, 0, 1, 2, 9, 70, most])]))) for j in range(200) for a in [r.choice([None, [r.randint(-most - 9, most + 9)], [r.randint(-most, most)]])]]
+        rules += [(j % 2 and j, None, None) for j in range(4)] if size > 1 else []
+        p, q = spark.createDataFrame(points, f"id long, t {kind}"), spark.createDataFrame(rules, f"rule long, a {kind}, b {kind}")
+        want = {}
+        for i, t in points:
+            held = [j for j, a, b in rules if (a is None or t is not None and t >= a) and (b is None or t is not None and t < b)]
+            if held:
+                want[i] = (len(held), min(held), max(held))
+        found = intervals.interval_totals(p, q, "t", "a", "b", "rule")
+        assert found.columns == ["id", "t", "n", "least", "greatest"] and sorted(tuple(x)[0:1] + tuple(x)[2:] for x in found.collect()) == sorted((i, *x) for i, x in want.items())
+        assert intervals.interval_totals(p, q.limit(0), "t", "a", "b", "rule").count() == 0
+    for wrong in (p.withColumn("t", F.lit(1.5)), p.withColumn("t", F.lit("x"))):
+        with pytest.raises(ValueError):
+            intervals.interval_totals(wrong, q, "t", "a", "b", "rule")
+
+
+def test_totals_make_no_pairs(spark):
+    """Twenty thousand orders and rules, half of which hold half of the days: 100 million pairs, and far fewer rows of any step."""
+    p = spark.range(20_000).select("id", (F.col("id") % 1_009).alias("t"))
+    q = spark.range(20_000).select(F.col("id").alias("rule"), F.when(F.col("id") % 2 == 0, F.col("id") % 1_009).alias("a"), (F.col("id") % 1_013).alias("b"))
+    found = intervals.interval_totals(p, q, "t", "a", "b", "rule")
+    got = found.agg(F.count("*"), F.sum("n")).first()
+    half = sum(1 for j in range(1, 20_000, 2) for _ in range(min(j % 1_013, 1_009)))  # times under b
+    assert got[0] > 19_000 and got[1] >= half * 19
+    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.nodeName()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+        todo += inner
+        if (rows := plan.metrics().get("numOutputRows")).isDefined():
+            made.append(rows.get().value())
+    assert made and max(made) < 1_000_000
+
+
 def test_zone_files_agree_with_python(spark):
     names = sorted(zoneinfo.available_timezones())[::6] + ["America/New_York", "Australia/Lord_Howe", "Europe/Dublin", "Africa/Casablanca", "America/Nuuk", "Etc/UTC"]
     rows = zone_rules.read_zone_files(zone_rules.installed_zones(spark, sorted(set(names)))).collect()
