@@ -82,6 +82,27 @@ def test_cover(spark):
     assert {r["zone"] for r in none.collect()} == {None}
 
 
+def test_equal_zones_share_a_cover(spark, monkeypatch):
+    """Zones at few places, over the date line too: one cover for each place, within the world, finer for more points;
+    found zones are neither counted nor grouped. One place has most zones; some points are in none."""
+    r = random.Random(8)
+    star = [(12, 1), (4, 11), (-9, 9), (-5, 0), (-11, -8), (6, -4)]
+    at = lambda cx, cy, turn: [(float(cy + dy), float((cx + dx + 540) % 360 - 180)) for dx, dy in star[turn:] + star[:turn]]
+    places = [(175, 10), (-172, -40), (0, 0), (3, 2)]
+    rings = [(f"z{k}", at(*places[k if k < 4 else 0], k % 6)) for k in range(40)] + [("hole", at(175, 10, 0)), ("hole", [(12.0, 177.0), (12.0, 173.0), (8.0, 173.0), (8.0, 177.0)])]
+    points = [(i, cy + r.uniform(-14, 14), (cx + r.uniform(-14, 14) + 540) % 360 - 180) for i in range(800) for cx, cy in [places[i % 4]]] + [(900, 80.0, 0.0), (901, None, None), (902, 10.0, 180.0), (903, 10.0, -180.0)]
+    kept = {}
+    monkeypatch.setattr(zones, "stored", lambda df, name: kept.setdefault(name, df.cache()))
+    got = zones.zones_at(spark.createDataFrame(points, POINT), spark.createDataFrame(rings, RING))
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == exact(points, rings)
+    cells = kept["zone-cells"]
+    assert cells.select("zone").distinct().count() == 5
+    assert all((c["cx"] << c["level"]) <= zones.TURN + 1 for c in cells.select("level", "cx").collect())
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    assert [zones._widest_bits(n) for n in (0, 15_000, 900_000, 10**12)] == [30, 22, 20, 14]
+
+
 @pytest.mark.parametrize("on", [(), ("k",)])
 def test_intervals(spark, on):
     r = random.Random(6)
