@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import intervals, offsets, zones
+from ledgerloom.plans import lookups
 from ledgerloom.sources import zone_rules
 
 RING = "zone string, ring array<struct<lat:double,lon:double>>"
@@ -142,23 +143,28 @@ def test_interval_totals(spark, kind):
             intervals.interval_totals(wrong, q, "t", "a", "b", "rule")
 
 
-def test_totals_make_no_pairs(spark):
-    """Twenty thousand orders and rules, half of which hold half of the days: 100 million pairs, and far fewer rows of any step."""
-    p = spark.range(20_000).select("id", (F.col("id") % 1_009).alias("t"))
-    q = spark.range(20_000).select(F.col("id").alias("rule"), F.when(F.col("id") % 2 == 0, F.col("id") % 1_009).alias("a"), (F.col("id") % 1_013).alias("b"))
-    found = intervals.interval_totals(p, q, "t", "a", "b", "rule")
-    got = found.agg(F.count("*"), F.sum("n")).first()
-    half = sum(1 for j in range(1, 20_000, 2) for _ in range(min(j % 1_013, 1_009)))  # times under b
-    assert got[0] > 19_000 and got[1] >= half * 19
-    made, todo = [], [found._jdf.queryExecution().executedPlan()]
+def rows_made(df):
+    """The most rows that any step of a DataFrame made when it was collected."""
+    made, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         plan = todo.pop()
         kind = plan.nodeName()
-        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
-        todo += inner
+        todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
         if (rows := plan.metrics().get("numOutputRows")).isDefined():
             made.append(rows.get().value())
-    assert made and max(made) < 1_000_000
+    return max(made)
+
+
+def test_totals_make_no_pairs(spark):
+    """Of orders and rules there are 22 pairs for each order; of made times and intervals, over 90 million."""
+    found = lookups.QUERIES["rules_at_size"](spark, "/root/testdata/sf0.01")
+    got = found.collect()
+    assert len(got) == 15_000 and sum(r["n_rules"] for r in got) > 300_000 and 15_000 <= rows_made(found) < 40_000
+    p = spark.range(20_000).select("id", (F.col("id") % 1_009).alias("t"))
+    q = spark.range(20_000).select(F.col("id").alias("rule"), (F.col("id") * 7 % 1_009).alias("a"), (F.col("id") * 11 % 1_013 + 500).alias("b"))
+    found = intervals.interval_totals(p, q, "t", "a", "b", "rule")
+    got = found.collect()
+    assert sum(r["n"] for r in got) > 90_000_000 and 19_000 < rows_made(found) < 100_000
 
 
 def test_zone_files_agree_with_python(spark):
